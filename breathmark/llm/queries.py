@@ -9,24 +9,57 @@ from .common import table
 from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .media import media_columns
+from .mixing import mix_sources
+from .packing import pack_documents
+from .simhash import simhash_groups
+from .token_count import token_counts
+
+
+def tokenizer(name: str) -> str:
+    """Where the public tokenizers are installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"), weights=(1, 2, 3), limit=3)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "shards")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"), shingle=3, distance=2)
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = media_columns(table(spark, sf_dir, "documents"))
     return media.drop("media").withColumn("feature", F.lower(F.hex("feature")))
 
 
+def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+QUERIES = [
+    op1_exact_dedup, op2_mix_sources, op3_token_counts, op5_line_dedup, op6_simhash, op7_media_columns, op9_pack_documents,
+]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_exact_dedup, op5_line_dedup, op7_media_columns)}
+    return {f.__name__: f for f in QUERIES}
 
 
 OP1_SQL = """
