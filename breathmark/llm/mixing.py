@@ -17,6 +17,8 @@ from .common import WORD, durable, text_or_empty
 BLOCKS = 4096
 #: Least number of documents among which the last words of a quota are chosen one by one.
 TAIL = 64
+#: Changes of one document for another that bring a quota's last words nearer.
+SWAPS = 16
 
 
 def targets(sizes: dict, weights: Sequence[float], limit: float = 3.0) -> dict:
@@ -74,6 +76,33 @@ def _permutation(seed: int, source: str | None) -> tuple[int, int]:
     return drawn % BLOCKS | 1, drawn // BLOCKS % BLOCKS
 
 
+def choose(sizes: np.ndarray, left: int) -> np.ndarray:
+    """Which documents to take, in their order as long as they fit, so that their sizes come near ``left`` from below.
+
+    Then one taken document (or none) is changed for a larger one that still fits, the best such change each time.
+    """
+    taken = np.zeros(len(sizes), bool)
+    for i, size in enumerate(sizes.tolist()):
+        if 0 < size <= left:
+            taken[i] = True
+            left -= size
+    for _ in range(SWAPS):
+        out = np.flatnonzero(~taken)
+        out = out[np.argsort(sizes[out], kind="stable")]
+        have = np.concatenate([[-1], np.flatnonzero(taken)])
+        worth = np.where(have < 0, 0, sizes[have])
+        best = np.searchsorted(sizes[out], worth + left, side="right") - 1
+        gain = np.where(best >= 0, sizes[out][best] - worth if len(out) else 0, 0)
+        if not left or not len(out) or gain.max() <= 0:
+            break
+        i = int(gain.argmax())
+        left -= int(gain[i])
+        taken[out[best[i]]] = True
+        if have[i] >= 0:
+            taken[have[i]] = False
+    return taken
+
+
 def mix_sources(
     df: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
@@ -148,7 +177,7 @@ def mix_sources(
         .collect()
     )
     zone = {r["_s"]: (r["_lo"], r["_hi"], r["_w0"]) for r in zones}
-    quotas = [whole * BLOCKS + (zone[s][0] + 1 if rest else 0) for s, _, _, _, _, whole, rest in rows]
+    quotas = [whole * BLOCKS + (zone[s][1] if rest else 0) for s, _, _, _, _, whole, rest in rows]
     starts = split_quotas(quotas, shards, seed).cumsum(axis=0)
     full = []
     for i, (s, size, goal, factor, shift, whole, rest) in enumerate(rows):
@@ -163,13 +192,9 @@ def mix_sources(
     tried = docs.where(in_zone).withColumn("_more", F.lit(0)).select(sure.columns)
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        """Takes documents in permuted order as long as they fit what is left."""
         group = group.sort_values(["_p", "_u", "_size"], kind="stable")
-        left, more = int(group["_left"].iloc[0]), []
-        for size in group["_size"]:
-            more.append(int(size <= left and left > 0))
-            left -= size * more[-1]
-        return group.assign(_more=np.array(more, np.int32))
+        chosen = choose(group["_size"].to_numpy(), int(group["_left"].iloc[0]))
+        return group.assign(_more=chosen.astype(np.int32))
 
     drawn = sure.unionByName(tried.groupBy("_s").applyInPandas(fill, sure.schema))
     copies = F.col("_whole") + F.col("_more")
@@ -179,7 +204,7 @@ def mix_sources(
             F.filter(
                 F.col("_starts"),
                 lambda x: x <= F.when(e <= F.col("_whole"), (e - 1) * BLOCKS + F.col("_p")).otherwise(
-                    F.col("_whole") * BLOCKS + F.least(F.col("_p"), F.col("_lo"))
+                    F.col("_whole") * BLOCKS + F.col("_p")
                 ),
             )
         ) - 1,
