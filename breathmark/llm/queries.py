@@ -11,6 +11,7 @@ from .line_dedup import line_dedup
 from .media import media_columns
 from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import pseudonymise
 from .simhash import simhash_groups
 from .token_count import token_counts
 
@@ -35,6 +36,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+#: The key of the registered query; a deployment gives its own.
+PII_KEY = "example key of the registered query"
+
+
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs).select("doc_id", "text", F.col("lines_removed").cast("long").alias("lines_removed"))
@@ -54,7 +63,7 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    op1_exact_dedup, op2_mix_sources, op3_token_counts, op5_line_dedup, op6_simhash, op7_media_columns, op9_pack_documents,
+    op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_pseudonyms, op5_line_dedup, op6_simhash, op7_media_columns, op9_pack_documents,
 ]
 
 
