@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .language_id import fit_on, held_out, identify_languages
 from .line_dedup import line_dedup
 from .media import media_columns
 from .mixing import mix_sources
@@ -58,12 +59,20 @@ def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.drop("media").withColumn("feature", F.lower(F.hex("feature")))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = fit_on(docs, ~held_out("doc_id"), "doc_id", "text", "lang")
+    found = identify_languages(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
 QUERIES = [
-    op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_pseudonyms, op5_line_dedup, op6_simhash, op7_media_columns, op9_pack_documents,
+    op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_pseudonyms, op5_line_dedup, op6_simhash, op7_media_columns,
+    op8_language_id, op9_pack_documents,
 ]
 
 
