@@ -16,16 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the checkpoint folder that all executors share, with the lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a
-    temporary one made.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) is a temporary folder made."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "breathmark-checkpoints"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the checkpoint folder that all executors share, with the lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .exact_dedup import exact_dedup
+from .html_extract import extract_pages
 from .language_id import fit_on, held_out, identify_languages
 from .line_dedup import line_dedup
 from .media import media_columns
@@ -70,9 +71,13 @@ def op9_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op10_extract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = [
     op1_exact_dedup, op2_mix_sources, op3_token_counts, op4_pseudonyms, op5_line_dedup, op6_simhash, op7_media_columns,
-    op8_language_id, op9_pack_documents,
+    op8_language_id, op9_pack_documents, op10_extract_pages,
 ]
 
 
