@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 #: Buckets of hashed n-gram features, a power of two, and the longest n-gram.
 BUCKETS_LOG2, LONGEST = 17, 4
@@ -285,8 +286,9 @@ def identify_languages(
     the new names are replaced. The model is some MB by its number of buckets, whatever it was fitted on.
     """
     rest = df.drop(*names)
-    schema = rest.schema.add(names[0], "string").add(names[1], "double")
-    where = rest.columns.index(text_col)
+    schema = StructType([*rest.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
+    columns = [*rest.columns, *names]
+    where = columns.index(text_col)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,6 +301,6 @@ def identify_languages(
                 best = sums.argmax(axis=1)
                 found = [crf.languages[k] if n else UNDETERMINED for k, n in zip(best.tolist(), counts.tolist(), strict=True)]
                 score = np.clip(sums[np.arange(len(texts)), best] / np.maximum(counts, 1), 0, 1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], [*rest.columns, *names])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], columns)
 
     return rest.mapInArrow(label, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is worked out once however often the body has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 class Pseudonyms:
     """Column expressions of one key. Every method maps its domain onto itself, so different values stay different."""
 
@@ -78,12 +85,14 @@ class Pseudonyms:
         Halves change places each round and the one that leaves is turned by what the key draws from the other.
         Letters that differ in case only are turned alike.
         """
+        return let(text, lambda t: let(t.rlike("^[0-9a-f]{16,}$|^[0-9A-F]{16,}$"), lambda h: self._string(t, h, tweak)))
+
+    def _string(self, text: Column, hexadecimal: Column, tweak: str) -> Column:
         half = F.floor(F.length(text) / 2).cast("int")
-        hexadecimal = text.rlike("^[0-9a-f]{16,}$|^[0-9A-F]{16,}$")
 
         def swap(state: Column, i: Column) -> Column:
             drawn = self._drawn(F.lit(tweak), i.cast("string"), F.length(state.x).cast("string"), F.lower(state.y))
-            return F.struct(state.y.alias("x"), self._turn(state.x, drawn, hexadecimal).alias("y"))
+            return F.struct(state.y.alias("x"), let(drawn, lambda d: self._turn(state.x, d, hexadecimal)).alias("y"))
 
         start = F.struct(F.substr(text, F.lit(1), half).alias("x"), F.substr(text, half + 1).alias("y"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, swap, lambda s: F.concat(s.x, s.y))
@@ -100,11 +109,14 @@ class Pseudonyms:
         """Any address for any other; null if a part is over 255."""
         parts = F.transform(F.split(s, r"\."), lambda x: x.cast("long"))
         whole = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
-        new = self.number(whole, (1 << 16, 1 << 16), "ip")
-        shown = F.array_join(
-            F.transform(F.array(*[F.lit(n) for n in (24, 16, 8, 0)]), lambda n: F.floor(new / F.pow(F.lit(2.0), n)).cast("long") % 256),
-            ".",
-        )
+
+        def show(new: Column) -> Column:
+            return F.array_join(
+                F.transform(F.array(*[F.lit(n) for n in (24, 16, 8, 0)]), lambda n: F.floor(new / F.pow(F.lit(2.0), n)).cast("long") % 256),
+                ".",
+            )
+
+        shown = let(self.number(whole, (1 << 16, 1 << 16), "ip"), show)
         return F.when(F.forall(parts, lambda x: x <= 255), shown)
 
     def date(self, s: Column) -> Column:
@@ -114,11 +126,14 @@ class Pseudonyms:
         day = F.coalesce(digits, month_first, F.try_to_date(s, "dd/MM/yyyy"))
         a, b = DAY_WHEELS
         nth = F.datediff(day, F.lit(EPOCH).cast("date"))
-        new = F.date_add(F.lit(EPOCH).cast("date"), self.number(nth, DAY_WHEELS, "date").cast("int"))
-        shown = (
-            F.when(s.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(s.contains("."), F.date_format(new, "dd.MM.yyyy"))
-            .when(month_first.isNotNull(), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
-        )
+
+        def show(new: Column) -> Column:
+            return (
+                F.when(s.contains("-"), F.date_format(new, "yyyy-MM-dd")).when(s.contains("."), F.date_format(new, "dd.MM.yyyy"))
+                .when(month_first.isNotNull(), F.date_format(new, "MM/dd/yyyy")).otherwise(F.date_format(new, "dd/MM/yyyy"))
+            )
+
+        shown = let(F.date_add(F.lit(EPOCH).cast("date"), self.number(nth, DAY_WHEELS, "date").cast("int")), show)
         return F.when(nth.between(0, a * b - 1), shown)
 
     def ssn(self, s: Column) -> Column:
@@ -126,11 +141,13 @@ class Pseudonyms:
         part = [F.substr(s, F.lit(at), F.lit(n)).cast("long") for at, n in ((1, 3), (5, 2), (8, 4))]
         area = part[0] - F.when(part[0] > 666, 2).otherwise(1)
         n = (area * 99 + part[1] - 1) * 9999 + part[2] - 1
-        new = self.number(n, (898, 99 * 9999), "ssn")
-        area = F.floor(new / F.lit(99 * 9999)).cast("long")
-        area = area + F.when(area >= 665, 2).otherwise(1)
-        group, serial = F.floor(new / F.lit(9999)).cast("long") % 99 + 1, new % 9999 + 1
-        shown = F.format_string("%03d-%02d-%04d", area, group, serial)
+
+        def show(new: Column) -> Column:
+            area = F.floor(new / F.lit(99 * 9999)).cast("long")
+            area = area + F.when(area >= 665, 2).otherwise(1)
+            return F.format_string("%03d-%02d-%04d", area, F.floor(new / F.lit(9999)).cast("long") % 99 + 1, new % 9999 + 1)
+
+        shown = let(self.number(n, (898, 99 * 9999), "ssn"), show)
         return F.when(part[0].between(1, 899) & (part[0] != 666) & (part[1] > 0) & (part[2] > 0), shown)
 
     def _into(self, form: Column, digits: Column) -> Column:
@@ -146,11 +163,13 @@ class Pseudonyms:
 
     def phone(self, s: Column) -> Column:
         """The last digits, seven at most; what stands before, country and area, stays. Null outside 9 to 15 digits."""
-        digits = F.regexp_replace(s, "[^0-9]", "")
-        n = F.length(digits)
-        own = F.substr(digits, n - 6)
-        new = F.concat(F.substr(digits, F.lit(1), n - 7), self.string(own, "phone"))
-        return F.when(n.between(9, 15), self._into(s, new))
+
+        def made(digits: Column) -> Column:
+            n = F.length(digits)
+            new = F.concat(F.substr(digits, F.lit(1), n - 7), self.string(F.substr(digits, n - 6), "phone"))
+            return F.when(n.between(9, 15), let(new, lambda x: self._into(s, x)))
+
+        return let(F.regexp_replace(s, "[^0-9]", ""), made)
 
     @staticmethod
     def _luhn(digits: Column) -> Column:
@@ -166,10 +185,13 @@ class Pseudonyms:
 
     def card(self, s: Column) -> Column:
         """All digits but the check digit, which is made anew; null if the number fails its own."""
-        digits = F.regexp_replace(s, "[^0-9]", "")
-        body = self.string(F.substr(digits, F.lit(1), F.length(digits) - 1), "card")
-        check = F.pmod(-self._luhn(F.concat(body, F.lit("0"))), F.lit(10))
-        return F.when(self._luhn(digits) % 10 == 0, self._into(s, F.concat(body, check.cast("string"))))
+
+        def made(digits: Column) -> Column:
+            body = self.string(F.substr(digits, F.lit(1), F.length(digits) - 1), "card")
+            whole = let(body, lambda b: F.concat(b, F.pmod(-self._luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
+            return F.when(self._luhn(digits) % 10 == 0, let(whole, lambda w: self._into(s, w)))
+
+        return let(F.regexp_replace(s, "[^0-9]", ""), made)
 
     @staticmethod
     def _mod97(s: Column) -> Column:
@@ -184,9 +206,12 @@ class Pseudonyms:
     def iban(self, s: Column) -> Column:
         """The account; country stays and check digits are made anew. Null if they don't fit."""
         country, account = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5))
-        new = self.string(account, "iban")
-        check = F.lit(98) - self._mod97(F.concat(new, country, F.lit("00")))
-        made = F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+        def show(new: Column) -> Column:
+            check = F.lit(98) - self._mod97(F.concat(new, country, F.lit("00")))
+            return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+        made = let(self.string(account, "iban"), show)
         return F.when(self._mod97(F.concat(account, F.substr(s, F.lit(1), F.lit(4)))) == 1, made)
 
 
@@ -201,8 +226,8 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     format's many may get itself. A null text stays null with counts of 0, an empty one empty. Rows are independent:
     repeated rows give repeated results, an empty table none. Other columns of ``df`` are not read.
 
-    The text is cut at its matches by one pattern; only the matches are looked at again, and texts without a digit
-    pass by.
+    The text is cut at its matches by one pattern; only the matches are looked at again, and texts without a
+    digit or such a sign pass by.
     """
     p = Pseudonyms(key)
     exact = {k: f"^(?:{v})$" for k, v in PATTERNS.items()}
@@ -213,12 +238,12 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
         tried = [
             F.when(found.rlike(exact[k]), F.struct(F.lit(k).alias("kind"), make[k](found).alias("new"))) for k in PATTERNS
         ]
-        tried = [F.when(t.getField("new").isNotNull(), t) for t in tried]
+        tried = [let(t, lambda x: F.when(x.new.isNotNull(), x)) for t in tried]
         return F.coalesce(*tried, F.struct(F.lit(None).cast("string").alias("kind"), found.alias("new")))
 
     rows = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     text = F.col("_t")
-    some = text.rlike(r"[0-9]|@|(?i:password|passwd|secret|token)")
+    some = text.rlike("[0-9@=:]")  # what every pattern has
     found = F.when(some, F.regexp_extract_all(text, F.lit(f"({ANY})"), 1))
     rows = rows.withColumn("_m", F.when(F.size(found) > 0, F.transform(found, judge)))
     between = F.split(text, ANY, -1)
