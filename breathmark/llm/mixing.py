@@ -37,7 +37,7 @@ def targets(sizes: dict, weights: Sequence[float], limit: float = 3.0) -> dict:
         if not over:
             return out | share
         for s in over:
-            out[s] = limit * sizes[s]
+            out[s] = float(limit * sizes[s])
             rest -= out[s]
         free = [s for s in free if s not in out]
         rest = max(rest, 0.0)
@@ -88,12 +88,14 @@ def choose(sizes: np.ndarray, left: int) -> np.ndarray:
             left -= size
     for _ in range(SWAPS):
         out = np.flatnonzero(~taken)
+        if not left or not len(out):
+            break
         out = out[np.argsort(sizes[out], kind="stable")]
         have = np.concatenate([[-1], np.flatnonzero(taken)])
         worth = np.where(have < 0, 0, sizes[have])
         best = np.searchsorted(sizes[out], worth + left, side="right") - 1
-        gain = np.where(best >= 0, sizes[out][best] - worth if len(out) else 0, 0)
-        if not left or not len(out) or gain.max() <= 0:
+        gain = np.where(best >= 0, sizes[out][best] - worth, 0)
+        if gain.max() <= 0:
             break
         i = int(gain.argmax())
         left -= int(gain[i])
