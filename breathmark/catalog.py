@@ -28,6 +28,11 @@ def _on(plan: Callable[[Recordings], DataFrame]) -> Callable[[SparkSession, str]
     return lambda spark, sf_dir: plan(Recordings(signals_from_events(spark, sf_dir), C))
 
 
+def _on_shared(plan: Callable[[Recordings], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For plans that read breaths and windows several times: those small tables are kept."""
+    return lambda spark, sf_dir: plan(Recordings(signals_from_events(spark, sf_dir), C).persist())
+
+
 def _smooth(r: Recordings) -> DataFrame:
     return signal.smoothed(r.signals, C)
 
@@ -89,31 +94,31 @@ QUERIES = {
     "runs_to_events": _on(
         lambda r: intervals.grid_runs(grid.irregular(r.windows(30), C), C, C.irregular.min_dur_sec, "irregular_breathing")
     ),
-    "grid_to_sample": _on(_slow_runs),
+    "grid_to_sample": _on_shared(_slow_runs),
     "pad_intervals": _on(lambda r: intervals.pad(r.desat, r.lengths, C.slow.desat_delay_sec, C)),
-    "overlap_semi": _on(lambda r: intervals.overlapping(_slow_runs(r), r.desat)),
-    "overlap_lag": _on(lambda r: intervals.with_overlap(_apnea_runs(r), r.desat, "met", C.apnea.desat_lag_sec)),
-    "point_anti": _on(
+    "overlap_semi": _on_shared(lambda r: intervals.overlapping(_slow_runs(r), r.desat)),
+    "overlap_lag": _on_shared(lambda r: intervals.with_overlap(_apnea_runs(r), r.desat, "met", C.apnea.desat_lag_sec)),
+    "point_anti": _on_shared(
         lambda r: intervals.points_outside(detectors.shallow_cond(r).where("flag"), r.desat, F.col("g").cast("double")).select(*REC, "g")
     ),
     "intersect_events": _on(_intersect),
-    "merge_within_type": _on(lambda r: intervals.merge(pipeline.raw_events(r), C.merge_gap_sec)),
+    "merge_within_type": _on_shared(lambda r: intervals.merge(pipeline.raw_events(r), C.merge_gap_sec)),
     "merge_tolerance": _on(lambda r: intervals.merge(detectors.sigh_intervals(r).select(intervals.EVENT), 0.5, by_type=False)),
-    "depth_vote": _on(
+    "depth_vote": _on_shared(
         lambda r: detectors.depth_vote(r, _slow_runs(r), grid.shallow_of(r.windows(30), C, C.slow)).select(*intervals.EVENT, *r6("share"))
     ),
     "sigh_flags": _on(
         lambda r: grid.sigh_flags(r.breaths, C).select(*BELT, "peak_k", *r6("amp"), "n_prev", *r6("med_prev"), "flag")
     ),
     "sigh_intervals": _on(lambda r: detectors.sigh_intervals(r).select(*intervals.EVENT, "belt")),
-    "sigh_frequency": _on(detectors.sigh_frequency),
+    "sigh_frequency": _on_shared(detectors.sigh_frequency),
     "normalize_types": _types,
-    **{f"detect_{label.lower()}": _on(detect) for label, detect in detectors.DETECTORS.items()},
-    "pipeline_events": _on(pipeline.pipeline_events),
+    **{f"detect_{label.lower()}": _on_shared(detect) for label, detect in detectors.DETECTORS.items()},
+    "pipeline_events": _on_shared(pipeline.pipeline_events),
     "event_sample_mask": _on(lambda r: intervals.event_sample_mask(r.desat, r.signals, C)),
-    "sample_mask": _on(lambda r: intervals.sample_mask(r.signals, pipeline.pipeline_events(r))),
-    "label_order": _on(lambda r: intervals.label_order(pipeline.pipeline_events(r))),
-    "label_cube": _on(lambda r: pipeline.label_cube(pipeline.pipeline_events(r))),
+    "sample_mask": _on_shared(lambda r: intervals.sample_mask(r.signals, pipeline.pipeline_events(r))),
+    "label_order": _on_shared(lambda r: intervals.label_order(pipeline.pipeline_events(r))),
+    "label_cube": _on_shared(lambda r: pipeline.label_cube(pipeline.pipeline_events(r))),
 }
 
 
