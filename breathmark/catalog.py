@@ -113,7 +113,7 @@ QUERIES = {
     "sigh_intervals": _on(lambda r: detectors.sigh_intervals(r).select(*intervals.EVENT, "belt")),
     "sigh_frequency": _on_shared(detectors.sigh_frequency),
     "normalize_types": _types,
-    **{f"detect_{label.lower()}": _on_shared(detect) for label, detect in detectors.DETECTORS.items()},
+    **{f"detect_{label.lower()}": (_on if label in ("ReA", "Des") else _on_shared)(detect) for label, detect in detectors.DETECTORS.items()},
     "pipeline_events": _on_shared(pipeline.pipeline_events),
     "event_sample_mask": _on(lambda r: intervals.event_sample_mask(r.desat, r.signals, C)),
     "sample_mask": _on_shared(lambda r: intervals.sample_mask(r.signals, pipeline.pipeline_events(r))),
