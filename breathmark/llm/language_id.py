@@ -17,7 +17,7 @@ BUCKETS_LOG2, LONGEST = 17, 4
 #: Words of a line that make one chain; a longer line is cut into chains.
 CHAIN = 256
 #: Characters that are worked on at once.
-PART = 1 << 21
+PART = 1 << 19
 #: Documents of each language that the model is fitted on at most, and their longest text.
 SAMPLE, SAMPLE_CHARS = 200, 100_000
 #: Times a word is seen in the sample, and the share of them in one language, from which it enters the lexicon.

@@ -23,7 +23,7 @@ CAPACITY = 4096
 #: The id that ends each document.
 END_ID = 1
 #: Words, and parts of words, whose ids a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 # The splitting pattern of the lower-casing word tokenizer (fixed value).
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
