@@ -6,7 +6,7 @@ columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breathmark.llm.language_id import UNDETERMINED, fit_on, held_out, identify_languages
@@ -19,7 +19,7 @@ from breathmark.llm.simhash import simhash_groups
 #: Least mean probability of a document's language. Half-and-half documents of two languages stay above it.
 LEAST_SCORE = 0.4
 SHINGLE, DISTANCE = 3, 2
-WEIGHTS, LIMIT = (1, 2, 3), 3
+WEIGHTS, LIMIT, SEED = (1, 2, 3), 3, 7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -47,9 +47,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it."""
-    mixed = mix_sources(docs.select(COLUMNS), WEIGHTS, LIMIT).where("copies > 0")
-    taken = mixed.select(F.col("doc_id").alias("taken_id"), "copies")
-    joined = docs.select(COLUMNS).join(taken, F.col("doc_id") == F.col("taken_id"))
+    docs = docs.select(COLUMNS)
+    mixed = mix_sources(docs, WEIGHTS, LIMIT, seed=SEED)
+    same = Window.partitionBy("key")  # rows that repeat a document, told apart by number
+    taken = mixed.select(F.col("order_key").alias("key"), "copies").withColumn("nr", F.row_number().over(same.orderBy("copies")))
+    keyed = docs.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn("nr", F.row_number().over(same.orderBy("doc_id")))
+    joined = keyed.join(taken.where("copies > 0"), ["key", "nr"])
     return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(COLUMNS)
 
 
