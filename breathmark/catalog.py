@@ -29,8 +29,8 @@ def _on(plan: Callable[[Recordings], DataFrame]) -> Callable[[SparkSession, str]
 
 
 def _on_shared(plan: Callable[[Recordings], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """For plans that read breaths and windows several times: those small tables are kept."""
-    return lambda spark, sf_dir: plan(Recordings(signals_from_events(spark, sf_dir), C).persist())
+    """For plans that read breaths and windows several times: those small tables are worked out first."""
+    return lambda spark, sf_dir: plan(Recordings(signals_from_events(spark, sf_dir), C).settle())
 
 
 def _smooth(r: Recordings) -> DataFrame:

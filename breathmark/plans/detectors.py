@@ -12,6 +12,7 @@ from breathmark.config import Config, Rate
 from breathmark.operators import grid, intervals, signal
 from breathmark.schema import REC, empty_events
 from breathmark.sources.recordings import with_channels
+from breathmark.sources.storage import durable
 
 
 class Recordings:
@@ -47,21 +48,18 @@ class Recordings:
             made[win_sec] = grid.windows(self.breaths, self.lengths, win_sec, self.config)
         return made[win_sec]
 
-    def persist(self) -> Recordings:
-        """Keeps the small tables that several detectors read."""
-        self.__dict__["all_breaths"] = self.all_breaths.persist()
-        self.__dict__["breaths"] = self.breaths.persist()
-        self.__dict__["desat"] = self.desat.persist()
-        made = self.__dict__.setdefault("_windows", {})
+    def settle(self) -> Recordings:
+        """Works out the small tables that several detectors read and cuts their lineage.
+
+        They have a row per recording, event, breath, or belt and grid point; samples stay where they are.
+        """
+        for name in ("lengths", "all_breaths", "baseline", "breaths", "desat"):
+            self.__dict__[name] = durable(getattr(self, name))
         c = self.config
         for win in {c.shallow.win_sec, c.irregular.win_sec, c.slow.win_sec, c.rapid.win_sec, c.apnea.win_sec}:
-            made[win] = self.windows(win).persist()
+            self.__dict__["_windows"] = self.__dict__.get("_windows", {}) | {win: durable(self.windows(win))}
         return self
 
-    def unpersist(self) -> None:
-        for df in [self.all_breaths, self.breaths, self.desat, *self.__dict__.get("_windows", {}).values()]:
-            df.unpersist()
-
 
 def desat_flags(signals: DataFrame, config: Config) -> DataFrame:
     """``flag`` by sample: below the floor, or ``drop`` or more under the recording's median at its head."""

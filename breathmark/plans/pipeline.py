@@ -11,6 +11,7 @@ from breathmark.operators import intervals
 from breathmark.plans.detectors import DETECTORS, Recordings
 from breathmark.schema import REC
 from breathmark.sources.recordings import read_recordings, write_results
+from breathmark.sources.storage import durable
 
 
 def raw_events(r: Recordings) -> DataFrame:
@@ -34,10 +35,6 @@ def label_cube(events: DataFrame) -> DataFrame:
 def run(spark: SparkSession, paths: str | list[str], out: str, config: Config | None = None, layout: str = "wide") -> None:
     """Reads recordings, labels them and writes ``events``, ``mask``, ``baseline`` and ``config`` under ``out``."""
     config = config or Config()
-    r = Recordings(read_recordings(spark, paths, layout), config).persist()
-    try:
-        events = pipeline_events(r).persist()
-        write_results(out, {"events": events, "mask": intervals.sample_mask(r.signals, events), "baseline": r.baseline}, config)
-        events.unpersist()
-    finally:
-        r.unpersist()
+    r = Recordings(read_recordings(spark, paths, layout), config).settle()
+    events = durable(pipeline_events(r))
+    write_results(out, {"events": events, "mask": intervals.sample_mask(r.signals, events), "baseline": r.baseline}, config)

@@ -33,9 +33,9 @@ def signals(spark, *recs):
     return spark.createDataFrame(rows, "subject int, condition int, k long, spo2 double, resp_l double, resp_d double")
 
 
-def labels(df):
+def labels(rows):
     out = {}
-    for r in df.collect():
+    for r in rows:
         out.setdefault((r["subject"], r["type"]), []).append((r["start_t"], r["end_t"]))
     return out
 
@@ -52,24 +52,25 @@ def test_recordings(spark):
         breathe(30),
         [(0.0, 15, 97.0)] * 800,
     ]
-    r = Recordings(signals(spark, *recs), CONFIG)
-    got = labels(pipeline.pipeline_events(r))
+    rows = pipeline.pipeline_events(Recordings(signals(spark, *recs), CONFIG).settle()).collect()
+    got = labels(rows)
     assert not [k for k in got if k[0] in (1, 6, 8)]
     assert (2, "SlB") in got and (3, "RaB") in got and (4, "ShB") in got
     assert got[5, "Des"] == [(90.0, 109.75)]
-    slow = pipeline.pipeline_events(r).where("subject = 2 and type = 'SlB'").first()
+    slow = next(r for r in rows if r["subject"] == 2 and r["type"] == "SlB")
     assert slow["depth"] == "deep" and not slow["desat"] and slow["raw_type"] == "slow_breathing_deep"
-    alone = labels(pipeline.pipeline_events(Recordings(signals(spark, recs[4]), CONFIG)))
-    assert alone[1, "Des"] == got[5, "Des"]
+    alone = labels(DETECTORS["Des"](Recordings(signals(spark, recs[4]), CONFIG)).collect())
+    assert alone[1, "desaturation"] == got[5, "Des"]
 
 
 def test_apnea_and_sigh(spark):
     config = replace(CONFIG, resp=Breathing(0.8, 0.02, 3, 0.25))
     sigh = breathe(92) + breathe(4, amp=2.5) + breathe(60)
-    r = Recordings(signals(spark, breathe(90) + breathe(80, amp=0.05, spo2=85) + breathe(60), sigh), config)
-    got = labels(pipeline.pipeline_events(r))
+    r = Recordings(signals(spark, breathe(90) + breathe(80, amp=0.05, spo2=85) + breathe(60), sigh), config).settle()
+    rows = pipeline.pipeline_events(r).collect()
+    got = labels(rows)
     assert (1, "Apn") in got and (2, "Sig") in got
-    row = pipeline.pipeline_events(r).where("type = 'Apn'").first()
+    row = next(r for r in rows if r["type"] == "Apn")
     assert row["desat"] and row["raw_type"] == "apnea_desat"
     assert DETECTORS["ReA"](r).count() == 0
 
