@@ -62,19 +62,19 @@ def local_maxima(samples: DataFrame) -> DataFrame:
 
 
 def candidates(samples: DataFrame) -> DataFrame:
-    """Local maxima with ``low``, the least value since the one before, and ``tail``, the least after the last."""
+    """Local maxima with ``low``, the least value since the one before, at ``low_k`` first, and ``tail``, the least after the last."""
     order = Window.partitionBy(*KEY).orderBy("k")
     parts = local_maxima(samples).withColumn("part", F.coalesce(F.sum(F.col("is_cand").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return (
         parts.groupBy(*KEY, "part")
         .agg(
-            F.min("x0").alias("low"),
+            F.min(F.when(F.col("x0").isNotNull(), F.struct("x0", "k"))).alias("least"),
             F.max(F.when(F.col("is_cand"), F.col("k"))).alias("k"),
             F.max(F.when(F.col("is_cand"), F.col("x0"))).alias("h"),
         )
-        .withColumn("tail", F.lead("low").over(Window.partitionBy(*KEY).orderBy("part")))
+        .withColumn("tail", F.lead("least.x0").over(Window.partitionBy(*KEY).orderBy("part")))
         .where(F.col("k").isNotNull())
-        .select(*KEY, "k", "h", "low", "tail")
+        .select(*KEY, "k", "h", F.col("least.x0").alias("low"), F.col("least.k").alias("low_k"), "tail")
     )
 
 
@@ -110,22 +110,38 @@ def spaced(k: np.ndarray, h: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
+def lows_between(kept: np.ndarray, low: np.ndarray, low_k: np.ndarray) -> np.ndarray:
+    """For each maximum kept, at the places ``kept`` among all, but the last: the place of the least low up to the next.
+
+    Low i lies between maximum i - 1 and i; of equal lows the first counts.
+    """
+    own = np.arange(kept[0] + 1, kept[-1] + 1)
+    breath = np.searchsorted(kept, own) - 1
+    order = np.lexsort((low_k[own], low[own], breath))
+    return own[order[np.flatnonzero(np.diff(breath[order], prepend=-1))]]
+
+
 def pick_peaks(cands: DataFrame, min_prominence: float, distance: int | None) -> DataFrame:
     """Candidates that stand out by ``min_prominence``, then thinned to ``distance`` samples; None leaves them.
 
-    Only the compact table of candidates reaches Python, a group for each recording, segment and belt.
+    ``low_val`` at ``low_k``: the least value up to the next peak, null at the last. Only the compact table of candidates
+    reaches Python, a group for each recording, segment and belt.
     """
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k")
-        tail = group["tail"].iloc[-1]
-        group["prominence"] = prominences(group["h"].to_numpy(), group["low"].to_numpy(), np.inf if pd.isna(tail) else tail)
-        group = group[group["prominence"] >= min_prominence]
-        if distance is not None and len(group):
-            group = group[spaced(group["k"].to_numpy(), group["h"].to_numpy(), distance)]
-        return group[[*KEY, "k", "h", "prominence"]]
-
-    schema = "subject int, condition int, segment string, belt string, k long, h double, prominence double"
+        group = group.sort_values("k", ignore_index=True)
+        tail, low, low_k = group["tail"].iloc[-1], group["low"].to_numpy(), group["low_k"].to_numpy()
+        group["prominence"] = prominences(group["h"].to_numpy(), low, np.inf if pd.isna(tail) else tail)
+        found = group[group["prominence"] >= min_prominence]
+        if distance is not None and len(found):
+            found = found[spaced(found["k"].to_numpy(), found["h"].to_numpy(), distance)]
+        found = found[[*KEY, "k", "h", "prominence"]].assign(low_val=None, low_k=None)
+        if len(found) > 1:
+            at = lows_between(found.index.to_numpy(), low, low_k)
+            found["low_val"], found["low_k"] = [*low[at].tolist(), None], pd.array([*low_k[at].tolist(), None], "Int64")
+        return found
+
+    schema = "subject int, condition int, segment string, belt string, k long, h double, prominence double, low_val double, low_k long"
     return cands.groupBy(*KEY).applyInPandas(pick, schema)
 
 
@@ -139,44 +155,49 @@ def breath_table(signals: DataFrame, config: Config) -> DataFrame:
 
 
 def breaths_of(samples: DataFrame, peaks: DataFrame, config: Config) -> DataFrame:
+    """Breaths from picked peaks; only troughs at a percentile look at ``samples`` again."""
     order = Window.partitionBy(*KEY).orderBy("k")
     whole = Window.partitionBy(*KEY)
     peaks = (
         peaks.withColumn("n", F.count(F.lit(1)).over(whole)).where(F.col("n") >= config.resp.min_num_peaks)
-        .select(*KEY, "k", F.lead("k").over(order).alias("next_k"), F.row_number().over(order).cast("long").alias("breath_no"))
-    )
+        .select(
+            *KEY, "k", "h", F.lead("k").over(order).alias("next_k"), F.row_number().over(order).cast("long").alias("breath_no"),
+            F.struct(F.col("low_val").alias("x0"), F.col("low_k").alias("k")).alias("low"),
+        )
+    )
+    if config.resp.trough_method != "min":
+        low = percentile_troughs(samples, peaks, config.resp.trough_prct)
+        peaks = peaks.drop("low").join(low, [*KEY, "breath_no"], "left")
+    last = F.col("next_k").isNull()
+    ibi = (F.col("next_k") - F.col("k")) / F.lit(float(config.fs))
+    return peaks.select(
+        *KEY, "breath_no", F.col("k").alias("peak_k"), F.col("h").alias("peak_val"),
+        F.when(~last, F.col("low.k")).alias("trough_k"),
+        F.when(~last, F.col("low.x0")).alias("trough_val"),
+        F.when(~last, F.col("h") - F.col("low.x0")).alias("amp"),
+        ibi.alias("ibi_s"), F.try_divide(F.lit(60.0), ibi).alias("rr_bpm"),
+    )
+
+
+def percentile_troughs(samples: DataFrame, peaks: DataFrame, prct: float) -> DataFrame:
+    """``low`` of each breath: the sample nearest to the value at plotting position (i - 0.5) / n, both peaks included."""
+    order = Window.partitionBy(*KEY).orderBy("k")
     # Each sample joins the breath that it lies in; a peak closes the breath before it too.
-    tagged = samples.select(*KEY, "k", "x0").join(peaks.select(*KEY, "k", "next_k", "breath_no"), [*KEY, "k"], "left")
+    tagged = samples.select(*KEY, "k", "x0").join(peaks.select(*KEY, "k", "breath_no"), [*KEY, "k"], "left")
     here = F.last("breath_no", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     tagged = tagged.withColumn("b", here).where(F.col("b").isNotNull())
     both = F.when(F.col("breath_no") > 1, F.array(F.col("b") - 1, F.col("b"))).otherwise(F.array("b"))
     spread = tagged.select(*KEY, "k", "x0", F.explode(both).alias("b"))
-    if config.resp.trough_method == "min":
-        low = spread.groupBy(*KEY, "b").agg(F.min(F.when(F.col("x0").isNotNull(), F.struct("x0", "k"))).alias("low"))
-    else:  # the value at plotting position (i - 0.5) / n, then the sample nearest to it
-        own = Window.partitionBy(*KEY, "b")
-        rank = F.row_number().over(own.orderBy(F.col("x0").asc_nulls_last(), "k"))
-        place = F.lit(config.resp.trough_prct / 100) * F.col("m") + F.lit(0.5)
-        at = F.least(F.greatest(place, F.lit(1.0)), F.col("m").cast("double"))
-        ranked = spread.withColumn("m", F.count("x0").over(own)).withColumn("r", rank)
-        lower = F.max(F.when(F.col("r") == F.floor(at), F.col("x0"))).over(own)
-        upper = F.max(F.when(F.col("r") == F.ceil(at), F.col("x0"))).over(own)
-        ranked = ranked.withColumn("p", lower + (upper - lower) * (at - F.floor(at)))
-        low = ranked.where(F.col("x0").isNotNull()).groupBy(*KEY, "b").agg(F.min_by(F.struct("x0", "k"), F.struct(F.abs(F.col("x0") - F.col("p")), F.col("k"))).alias("low"))
-    low = low.withColumnRenamed("b", "breath_no")
-    tops = samples.select(*KEY, "k", F.col("x0").alias("peak_val"))
-    last = F.col("next_k").isNull()
-    ibi = (F.col("next_k") - F.col("k")) / F.lit(float(config.fs))
-    return (
-        peaks.join(low, [*KEY, "breath_no"], "left").join(tops, [*KEY, "k"])
-        .select(
-            *KEY, "breath_no", F.col("k").alias("peak_k"), "peak_val",
-            F.when(~last, F.col("low.k")).alias("trough_k"),
-            F.when(~last, F.col("low.x0")).alias("trough_val"),
-            F.when(~last, F.col("peak_val") - F.col("low.x0")).alias("amp"),
-            ibi.alias("ibi_s"), F.try_divide(F.lit(60.0), ibi).alias("rr_bpm"),
-        )
-    )
+    own = Window.partitionBy(*KEY, "b")
+    rank = F.row_number().over(own.orderBy(F.col("x0").asc_nulls_last(), "k"))
+    place = F.lit(prct / 100) * F.col("m") + F.lit(0.5)
+    at = F.least(F.greatest(place, F.lit(1.0)), F.col("m").cast("double"))
+    ranked = spread.withColumn("m", F.count("x0").over(own)).withColumn("r", rank)
+    lower = F.max(F.when(F.col("r") == F.floor(at), F.col("x0"))).over(own)
+    upper = F.max(F.when(F.col("r") == F.ceil(at), F.col("x0"))).over(own)
+    ranked = ranked.withColumn("p", lower + (upper - lower) * (at - F.floor(at)))
+    nearest = F.min_by(F.struct("x0", "k"), F.struct(F.abs(F.col("x0") - F.col("p")), F.col("k")))
+    return ranked.where(F.col("x0").isNotNull()).groupBy(*KEY, F.col("b").alias("breath_no")).agg(nearest.alias("low"))
 
 
 def rate_summary(breaths: DataFrame) -> DataFrame:
