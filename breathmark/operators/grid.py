@@ -9,6 +9,8 @@ from breathmark.config import Config, Rate, Shallow
 from breathmark.schema import BELTS, REC
 
 BELT = [*REC, "belt"]
+#: Window lengths in one stretch of a recording; stretches are worked on apart.
+STRETCH = 64
 
 
 def grid_points(lengths: DataFrame, step_rows: int) -> DataFrame:
@@ -26,6 +28,9 @@ def windows(breaths: DataFrame, lengths: DataFrame, win_sec: int, config: Config
 
     A band join without a join: grid points and breaths in one table, and a range frame over whole sample numbers.
     Differences to earlier peaks are taken once; those of the frame's first rows reach out of it and are taken off.
+    A recording is cut into stretches of STRETCH windows, and breaths that windows of the next stretch still see go to
+    both, so a long recording is many groups. Frames are the slow part: groups are dealt to as many tasks as the
+    session has shuffle partitions, however few bytes they are.
     """
     fs = float(config.fs)
     pause = config.irregular.pause_sec * config.fs
@@ -42,7 +47,13 @@ def windows(breaths: DataFrame, lengths: DataFrame, win_sec: int, config: Config
     empty = {"peak_k": "long", "amp": "double", "i2": "long", "d2": "long", "pause": "long"}
     points = points.select(*BELT, (F.col("g") * config.grid_rows).alias("at"), "g", *[F.lit(None).cast(t).alias(c) for c, t in empty.items()], "amp_ref")
     both = own.withColumn("amp_ref", F.lit(None).cast("double")).unionByName(points)
-    w = Window.partitionBy(*BELT).orderBy("at").rangeBetween(-win_sec * config.fs, 0)
+    reach = win_sec * config.fs
+    size = F.lit(STRETCH * reach)
+    seen = F.when(F.col("g").isNotNull(), F.col("at")).otherwise(F.col("at") + reach)
+    stretches = F.sequence(F.floor(F.col("at") / size), F.floor(seen / size))
+    tasks = int(breaths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.withColumn("stretch", F.explode(stretches)).repartition(tasks, *BELT, "stretch")
+    w = Window.partitionBy(*BELT, "stretch").orderBy("at").rangeBetween(-reach, 0)
     found = both.select(
         *BELT, "g", "at", "amp_ref",
         F.count("peak_k").over(w).alias("n"), F.min("peak_k").over(w).alias("k0"), F.max("peak_k").over(w).alias("k1"),

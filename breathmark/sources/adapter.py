@@ -24,6 +24,7 @@ def signals_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         subject.cast("int").alias("subject"), F.lit(1).alias("condition"), "ts", "event_id",
         F.round(F.col("value") * 100).cast("double").alias("resp_l"), digits.alias("digits"),
     )
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), *REC)  # few bytes, but much work each
     spo2 = F.lit(100.0) - F.sum("digits").over(near).cast("double") / (F.count("digits").over(near) * F.lit(5.0))
     return rows.select(
         *REC, (F.row_number().over(order) - 1).cast("long").alias("k"), spo2.alias("spo2"), "resp_l",
