@@ -33,6 +33,11 @@ def _on_shared(plan: Callable[[Recordings], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: plan(Recordings(signals_from_events(spark, sf_dir), C).settle())
 
 
+def _on_breaths(plan: Callable[[Recordings], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For plans that read breaths and their baseline: breaths are worked out first, once."""
+    return lambda spark, sf_dir: plan(Recordings(signals_from_events(spark, sf_dir), C).settle_breaths())
+
+
 def _smooth(r: Recordings) -> DataFrame:
     return signal.smoothed(r.signals, C)
 
@@ -77,21 +82,21 @@ QUERIES = {
     ),
     "trough_argmin": _on(lambda r: r.all_breaths.where("trough_k is not null").select(*KEY, "breath_no", "trough_k")),
     "ibi_rr": _on(lambda r: signal.rate_summary(r.all_breaths).select(*KEY, "n_peaks", *r6("rr_mean_bpm", "rr_std_bpm"))),
-    "baseline_amp_ref": _on(
+    "baseline_amp_ref": _on_breaths(
         lambda r: r.baseline.select(*REC, *r6("spo2_median", "spo2_mean", "lungs_amp_ref", "lungs_rr_ref", "diap_amp_ref", "diap_rr_ref"))
     ),
-    "win_median_amp": _on(lambda r: r.windows(30).select(*BELT, "g", "n", *r6("med_amp"))),
-    "win_rr": _on(lambda r: r.windows(30).select(*BELT, "g", "n", *r6("rr"))),
-    "win_cov_rmssd": _on(lambda r: r.windows(30).select(*BELT, "g", *r6("cov", "rmssd"), "pauses")),
-    "win_amp_ratio": _on(lambda r: grid.amp_ratio(r.windows(30)).select(*BELT, "g", *r6("ratio"))),
-    "cond_shallow": _on(detectors.shallow_cond),
-    "cond_slow": _on(lambda r: grid.slow(r.windows(30), C.slow, C)),
-    "cond_rapid": _on(lambda r: grid.rapid(r.windows(30), C.rapid, C)),
-    "cond_irregular": _on(lambda r: grid.irregular(r.windows(30), C)),
-    "cond_apnea": _on(lambda r: grid.apnea(r.windows(30), C)),
+    "win_median_amp": _on_breaths(lambda r: r.windows(30).select(*BELT, "g", "n", *r6("med_amp"))),
+    "win_rr": _on_breaths(lambda r: r.windows(30).select(*BELT, "g", "n", *r6("rr"))),
+    "win_cov_rmssd": _on_breaths(lambda r: r.windows(30).select(*BELT, "g", *r6("cov", "rmssd"), "pauses")),
+    "win_amp_ratio": _on_breaths(lambda r: grid.amp_ratio(r.windows(30)).select(*BELT, "g", *r6("ratio"))),
+    "cond_shallow": _on_breaths(detectors.shallow_cond),
+    "cond_slow": _on_breaths(lambda r: grid.slow(r.windows(30), C.slow, C)),
+    "cond_rapid": _on_breaths(lambda r: grid.rapid(r.windows(30), C.rapid, C)),
+    "cond_irregular": _on_breaths(lambda r: grid.irregular(r.windows(30), C)),
+    "cond_apnea": _on_breaths(lambda r: grid.apnea(r.windows(30), C)),
     "desat_flags": _on(lambda r: detectors.desat_flags(r.signals, C)),
     "runs_desat": _on(lambda r: r.desat),
-    "runs_to_events": _on(
+    "runs_to_events": _on_breaths(
         lambda r: intervals.grid_runs(grid.irregular(r.windows(30), C), C, C.irregular.min_dur_sec, "irregular_breathing")
     ),
     "grid_to_sample": _on_shared(_slow_runs),
@@ -101,16 +106,16 @@ QUERIES = {
     "point_anti": _on_shared(
         lambda r: intervals.points_outside(detectors.shallow_cond(r).where("flag"), r.desat, F.col("g").cast("double")).select(*REC, "g")
     ),
-    "intersect_events": _on(_intersect),
+    "intersect_events": _on_breaths(_intersect),
     "merge_within_type": _on_shared(lambda r: intervals.merge(pipeline.raw_events(r), C.merge_gap_sec)),
-    "merge_tolerance": _on(lambda r: intervals.merge(detectors.sigh_intervals(r).select(intervals.EVENT), 0.5, by_type=False)),
+    "merge_tolerance": _on_breaths(lambda r: intervals.merge(detectors.sigh_intervals(r).select(intervals.EVENT), 0.5, by_type=False)),
     "depth_vote": _on_shared(
         lambda r: detectors.depth_vote(r, _slow_runs(r), grid.shallow_of(r.windows(30), C, C.slow)).select(*intervals.EVENT, *r6("share"))
     ),
-    "sigh_flags": _on(
+    "sigh_flags": _on_breaths(
         lambda r: grid.sigh_flags(r.breaths, C).select(*BELT, "peak_k", *r6("amp"), "n_prev", *r6("med_prev"), "flag")
     ),
-    "sigh_intervals": _on(lambda r: detectors.sigh_intervals(r).select(*intervals.EVENT, "belt")),
+    "sigh_intervals": _on_breaths(lambda r: detectors.sigh_intervals(r).select(*intervals.EVENT, "belt")),
     "sigh_frequency": _on_shared(detectors.sigh_frequency),
     "normalize_types": _types,
     **{f"detect_{label.lower()}": (_on if label in ("ReA", "Des") else _on_shared)(detect) for label, detect in detectors.DETECTORS.items()},

@@ -48,6 +48,11 @@ class Recordings:
             made[win_sec] = grid.windows(self.breaths, self.lengths, win_sec, self.config)
         return made[win_sec]
 
+    def settle_breaths(self) -> Recordings:
+        """Works out the breaths alone, for plans that read them more than once."""
+        self.__dict__["all_breaths"] = durable(self.all_breaths)
+        return self
+
     def settle(self) -> Recordings:
         """Works out the small tables that several detectors read and cuts their lineage.
 

@@ -76,6 +76,22 @@ def test_spacing_by_definition():
         assert np.flatnonzero(signal.spaced(k, h, 4)).tolist() == sorted(kept)
 
 
+def test_lows_by_definition():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        low, low_k = rng.integers(0, 4, 20).astype(float), np.arange(0, 60, 3)
+        kept = np.flatnonzero(rng.random(20) < 0.4)
+        if len(kept) > 1:
+            want = [min(range(a + 1, b + 1), key=lambda i: (low[i], low_k[i])) for a, b in zip(kept, kept[1:], strict=False)]
+            assert signal.lows_between(kept, low, low_k).tolist() == want
+
+
+def test_breaths_over_missing_samples(spark):
+    x = samples(spark, [0, 5, 1, None, 0.5, None, 2, 5, 3])
+    rows = signal.breaths_of(x, signal.pick_peaks(signal.candidates(x), 1.5, 1), Config(fs=1, resp=Breathing(1, 1.5, 2, 0))).orderBy("peak_k").collect()
+    assert [(r["peak_k"], r["trough_k"], r["trough_val"], r["amp"]) for r in rows] == [(1, 4, 0.5, 4.5), (7, None, None, None)]
+
+
 @pytest.mark.parametrize("method", ["min", "prctile"])
 def test_breaths(spark, method):
     config = Config(fs=1, resp=Breathing(1, 1.5, 3, 0, method, 5.0))
@@ -161,7 +177,9 @@ def test_irregular(spark):
     assert {r["g"] for r in grid.irregular(w, config).where("flag").collect()} == set()
 
 
-def test_windows_by_brute_force(spark):
+@pytest.mark.parametrize("stretch", [1, 3, 64])
+def test_windows_by_brute_force(spark, monkeypatch, stretch):
+    monkeypatch.setattr(grid, "STRETCH", stretch)
     rng = np.random.default_rng(5)
     ks = np.unique(rng.integers(0, 300, 60))
     rows = [(k, None if i % 9 == 4 else float(rng.integers(1, 9))) for i, k in enumerate(ks)]
