@@ -226,3 +226,25 @@ def test_wheels_are_a_permutation(spark):
     assert sorted(r["n"] for r in rows) == list(range(17 * 30))
     strings = spark.range(1000).select(p.string(F.lpad(F.col("id").cast("string"), 3, "0"), "t").alias("s")).collect()
     assert len({r["s"] for r in strings}) == 1000 and all(len(r["s"]) == 3 for r in strings)
+
+
+@pytest.mark.parametrize(
+    ("text", "private", "kinds"),
+    [
+        ("call +1 (826) 555-4081 190.137.223.204 du", ["555-4081", "190.137.223.204"], {"phone": 1, "ip": 1}),
+        ("4111111111111111 97.51.17.173 here", ["4111111111111111", "97.51.17.173"], {"card": 1, "ip": 1}),
+        ("4111111111111111 12 apples", ["4111111111111111"], {"card": 1}),
+        ("4111 1111 1111 1111 123 times", ["4111 1111 1111 1111"], {"card": 1}),
+        ("4111111111111111 4111111111111111", ["4111111111111111"], {"card": 2}),
+        ("+33 1 23 45 67 89 le 2024-05-06", ["23 45 67 89", "2024-05-06"], {"phone": 1, "date": 1}),
+        ("+44 20 7946 0958 2024", ["7946 0958"], {"phone": 1}),
+        ("+1 826 555 4081 123-45-6789", ["555 4081", "123-45-6789"], {"phone": 1, "ssn": 1}),
+        ("+1 826 555 4081 4111111111111111", ["555 4081", "4111111111111111"], {"phone": 1, "card": 1}),
+        ("4111111111111111\n+1 826 555 4081", ["4111111111111111", "555 4081"], {"phone": 1, "card": 1}),
+    ],
+)
+def test_neighbouring_private_values(spark, text, private, kinds):
+    (row,) = pii.pseudonymise(docs(spark, [text]), "key").collect()
+    assert not [x for x in private if x in row["text"]]
+    assert {k: row[f"n_{k}"] for k in pii.PATTERNS if row[f"n_{k}"]} == kinds
+    assert "ip" in kinds or [c.isdigit() for c in row["text"]] == [c.isdigit() for c in text]
