@@ -12,13 +12,12 @@ from pyspark.sql import functions as F
 from breathmark.llm.language_id import UNDETERMINED, fit_on, held_out, identify_languages
 from breathmark.llm.line_dedup import line_dedup
 from breathmark.llm.mixing import mix_sources
+from breathmark.llm.near_text import keyed, near_texts
 from breathmark.llm.packing import pack_documents
 from breathmark.llm.queries import tokenizer
-from breathmark.llm.simhash import simhash_groups
 
 #: Least mean probability of a document's language. Half-and-half documents of two languages stay above it.
 LEAST_SCORE = 0.4
-SHINGLE, DISTANCE = 3, 2
 WEIGHTS, LIMIT, SEED = (1, 2, 3), 3, 7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -38,10 +37,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
     docs = docs.select(COLUMNS)
-    groups = simhash_groups(docs, shingle=SHINGLE, distance=DISTANCE)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    near = near_texts(docs)
+    groups = keyed(docs).select("doc_id", "_node").join(near, F.col("_node") == F.col("node"), "left")
+    groups = groups.select("doc_id", F.coalesce("component", "_node").alias("_group"))
+    least = groups.groupBy("_group").agg(F.min("doc_id").alias("_least"))
+    gone = groups.join(least, "_group").where("_least <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
 
 
