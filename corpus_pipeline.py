@@ -37,14 +37,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more the document with the smallest id stays."""
+    """Of each group of texts linked by a five-word Jaccard similarity of 0.8 or more one row stays, the first by (id, text's hash)."""
     docs = docs.select(COLUMNS)
     near = near_texts(docs)
-    groups = keyed(docs).select("doc_id", "_node").join(near, F.col("_node") == F.col("node"), "left")
-    groups = groups.select("doc_id", F.coalesce("component", "_node").alias("_group"))
-    least = groups.groupBy("_group").agg(F.min("doc_id").alias("_least"))
-    gone = groups.join(least, "_group").where("_least <> doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    docs = keyed(docs)
+    groups = docs.select("doc_id", "_node").join(near, F.col("_node") == F.col("node"), "left")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "_node")
+    stays = groups.groupBy(F.coalesce("component", "_node")).agg(F.min(order).alias("_min")).select(F.col("_min.doc_id").alias("_id"), F.col("_min._node").alias("_own"))
+    kept = docs.join(stays, (F.col("_node") == F.col("_own")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    same = Window.partitionBy("_own", "doc_id").orderBy("source", "lang")
+    return kept.withColumn("_nr", F.row_number().over(same)).where("_nr = 1").select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

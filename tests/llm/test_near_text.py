@@ -55,3 +55,12 @@ def test_large_blocks_by_brute_force(spark, monkeypatch):
     rows = [(i, f"{t} every text ends with this very line of words") for i, t in enumerate(near_copies(rng, 240))]
     got = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()}
     assert got == plain_kept(rows)
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rng = random.Random(6)
+    a, b, c, d = near_copies(rng, 48)[::12]
+    a, b, c, d = (f"{t} {k * 8}" for t, k in zip((a, b, c, d), ("p ", "q ", "r ", "s ")))
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, c), (None, d), (None, d), (4, d)]
+    got = corpus_pipeline.near_duplicates(spark, documents(spark, rows), "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, a), (2, b), (3, c), (4, d)]
