@@ -1,4 +1,4 @@
-"""Near-duplicate texts by the Jaccard similarity of their word shingles: an exact join with prefix filtering."""
+"""Near-duplicate texts by the Jaccard similarity of their word shingles: SimHash links first, then an exact join for the rest."""
 
 from __future__ import annotations
 
@@ -7,20 +7,25 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, starts_of, text_or_empty, whole_groups
 from .components import connected_components
+from .simhash import fingerprint, links
 
 #: Words of a shingle. Two texts are near when they share 4 of 5 shingles of both together, or more.
 WORDS = 5
-#: Bits of a sketch.
+#: Words of a fingerprint's shingle, and differing bits up to which fingerprints make two texts candidates.
+FINGERPRINT_WORDS, DISTANCE = 2, 3
+#: Bits of the sketch that goes with a text under each shingle; a text's own sketch has more where it has more shingles.
 SKETCH = 512
-#: Members of a block up to which its pairs are compared at once; rounds in which larger blocks are tied to a pivot first.
-SMALL, ROUNDS = 64, 2
+#: Members of a block up to which its pairs are compared at once, and members of a larger one that meet in one task.
+SMALL, TILE = 64, 4096
 #: Texts looked at to order shingles, in how many of them a shingle counts as frequent, and shingles so remembered.
-SAMPLE, OFTEN, MOST = 20_000, 8, 50_000
+SAMPLE, OFTEN, MOST = 10_000, 4, 100_000
+#: Hashes of texts up to which they are broadcast (16 bytes each); more of them are joined by a shuffle.
+BROADCAST = 1_000_000
 
 
 def shingles(text: str) -> np.ndarray:
@@ -32,18 +37,28 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, made, repeat(42)), "<u8"))
 
 
-def sketch(found: np.ndarray) -> bytes:
-    """Parities of the hashes in SKETCH cells: two sets differ in at least as many elements as their sketches in bits."""
-    return np.packbits((np.bincount((found & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1).astype(bool)).tobytes()
+def sketch(found: np.ndarray) -> np.ndarray:
+    """Parities of the hashes in cells, twice as many as hashes at least: sets differ in as many elements as sketches in bits, or more."""
+    bits = max(SKETCH, 1 << (2 * len(found) - 1).bit_length())
+    return np.packbits((np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little")
 
 
-def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The first n - ceil(0.8 n) + 1 of n shingles, frequent ones last; near texts share one of theirs, in any order of all shingles."""
-    n = len(found)
+def fold(made: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of the same set in ``size`` bytes: cells whose numbers agree in their low bits are one."""
+    return np.bitwise_xor.reduce(made.reshape(-1, size), axis=0)
+
+
+def prefix(found: np.ndarray, often: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n - ceil(0.8 n) + 1 of n shingles, frequent ones last, and how many of them are not frequent.
+
+    Near texts share one of theirs, in any order of all shingles.
+    """
+    n, rare = len(found), len(found)
     if len(often):
         at = np.minimum(np.searchsorted(often, found), len(often) - 1)
-        found = found[np.lexsort((found, np.where(often[at] == found, counts[at], 0)))]
-    return found[: n - (4 * n + 4) // 5 + 1]
+        count = np.where(often[at] == found, counts[at], 0)
+        found, rare = found[np.lexsort((found, count))], int((count == 0).sum())
+    return found[: n - (4 * n + 4) // 5 + 1], rare
 
 
 def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -63,114 +78,202 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return often[order], counts[order]
 
 
-def _whole_blocks(work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
-    """Hands rows that come sorted by ``_s`` to ``work`` so that rows of equal ``_s`` are never apart."""
+def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
+
+
+class _Rows:
+    """Shingle count, place of the shared shingle in the prefix, coarse sketch and component of some texts."""
+
+    def __init__(self, n: np.ndarray, at: np.ndarray, bits: np.ndarray, label: np.ndarray):
+        self.n, self.at, self.bits, self.label = n.astype(np.int64), at.astype(np.int64), bits, label
+
+    def near(self, a: np.ndarray, other: _Rows, b: np.ndarray) -> np.ndarray:
+        """Which pairs of own rows a and other rows b are of different components and can be near by sizes, places and sketches."""
+        both = self.n[a] + other.n[b]
+        # The first shingle that two texts share leaves both enough of theirs from there on.
+        k = (self.label[a] != other.label[b]) & (9 * np.minimum(self.n[a] - self.at[a], other.n[b] - other.at[b]) >= 4 * both)
+        found = np.flatnonzero(k)
+        differ = np.bitwise_count(self.bits[a[found]] ^ other.bits[b[found]]).sum(axis=1, dtype=np.int64)
+        return found[9 * differ <= both[found]]
+
+
+def _rows(table: pa.Table | pa.RecordBatch, mark: str = "") -> _Rows:
+    n, at, label = (table[f"_{c}{mark}"].to_numpy() for c in ("n", "at", "label"))
+    return _Rows(n, at, _bits(table[f"_coarse{mark}"]), label)
+
+
+def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+
+
+def _small_blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """All pairs of each block that can be near; no block has more than SMALL rows."""
+    rows, node = _rows(table), table["_node"].to_numpy()
+    starts, sizes = starts_of(table["_s"].to_numpy())
+    group = np.repeat(np.arange(len(starts)), sizes)
+    own, step = np.arange(len(node)), 0
+    while True:
+        step += 1
+        own = own[own + step < len(node)]
+        own = own[group[own] == group[own + step]]
+        if not len(own):
+            return
+        k = own[rows.near(own, rows, own + step)]
+        if len(k):
+            yield _pairs(node[k], node[k + step])
+
+
+def _tiles(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Of each tile, the pairs of a row marked ``_other`` and one that isn't that can be near."""
+    rows, node, other = _rows(table), table["_node"].to_numpy(), table["_other"].to_numpy(zero_copy_only=False)
+    starts, sizes = starts_of(*(table[c].to_numpy() for c in ("_s", "_chunk", "_group")))
+    for start, size in zip(starts, sizes, strict=True):
+        own = np.arange(start, start + size)
+        ones, all_rows = own[other[own]], own[~other[own]]
+        for top in range(0, len(ones), 256):
+            some = ones[top : top + 256]
+            a, b = np.repeat(some, len(all_rows)), np.tile(all_rows, len(some))
+            k = rows.near(a, rows, b)
+            if len(k):
+                yield _pairs(node[a[k]], node[b[k]])
+
+
+def _shared(small: int) -> Callable:
+    """For mapInArrow over rows sorted by shingle and node: distinct rows whose shingle others have, ``_large`` where over ``small`` do.
+
+    At most ``small`` rows of one shingle are held besides a batch, however many have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, current, large_now = None, None, False
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            key = batch["_s"].to_numpy()
-            last = np.flatnonzero(key[:-1] != key[-1]) if len(key) else []
-            cut = int(last[-1]) + 1 if len(last) else 0
-            if not cut and len(key) and held and held[-1]["_s"][-1].as_py() != key[-1]:
-                yield from work(pa.Table.from_batches(held))
-                held = []
-            elif cut:
-                yield from work(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-                held, batch = [], batch.slice(cut)
-            if batch.num_rows:
-                held.append(batch)
-        if held:
-            yield from work(pa.Table.from_batches(held))
+            if not batch.num_rows:
+                continue
+            s, node = batch["_s"].to_numpy(), batch["_node"].to_numpy()
+            fresh = np.append(before != (s[0], node[0]), (s[1:] != s[:-1]) | (node[1:] != node[:-1]))
+            before = (s[-1], node[-1])
+            table = pa.Table.from_batches([*held, batch.filter(pa.array(fresh))])
+            s = table["_s"].to_numpy()
+            if not len(s):
+                continue
+            starts, sizes = starts_of(s)
+            size_of = np.repeat(sizes, sizes)
+            large = (size_of > small) | (large_now & (s == current))
+            current, large_now = s[-1], bool(large[-1])
+            end = len(s) if large_now else int(starts[-1])
+            held = table.slice(end).combine_chunks().to_batches()
+            kept = table.append_column("_large", pa.array(large)).slice(0, end).filter(pa.array(((size_of > 1) | large)[:end]))
+            yield from kept.combine_chunks().to_batches()
+        if held and held[0].num_rows > 1:
+            yield held[0].append_column("_large", pa.array(np.zeros(held[0].num_rows, bool)))
 
     return run
 
 
-def _starts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where blocks of equal keys start, and their sizes."""
-    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-    return starts, np.diff(np.append(starts, len(key)))
+def _meeting(dealt: DataFrame, small: int) -> DataFrame:
+    """The rows of ``dealt`` (``_s``, ``_node``, ``_at``, ``_often``) whose shingle another node has too, with ``_large``.
 
+    Shingles that are frequent in the sample are counted by tasks first and joined back, a join that adaptive execution
+    splits where one is hot. All others are dealt out once.
+    """
+    often, rare = dealt.where("_often").drop("_often"), dealt.where("not _often").drop("_often")
+    counts = often.groupBy("_s").agg(F.count(F.lit(1)).alias("_c"), F.min("_node").alias("_lo"), F.max("_node").alias("_hi"))
+    counts = counts.where("_lo <> _hi").select(F.col("_s").alias("_ss"), (F.col("_c") > small).alias("_large"))
+    hot = often.join(counts, F.col("_s") == F.col("_ss")).select("_s", "_node", "_at", "_large").distinct()
+    rare = rare.select("_s", "_node", "_at").repartition("_s").sortWithinPartitions("_s", "_node")
+    return hot.union(rare.mapInArrow(_shared(small), "_s long, _node long, _at int, _large boolean"))
 
-def _shared(small: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
-    """The rows of blocks of two members or more."""
 
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        _, sizes = _starts(rows["_s"].to_numpy())
-        size_of = np.repeat(sizes, sizes)
-        kept = rows.append_column("_large", pa.array(size_of > small)).filter(pa.array(size_of > 1))
-        yield from kept.combine_chunks().to_batches()
+def _chosen(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose ``_node`` is in ``needed`` (distinct, ``_need``): broadcast up to BROADCAST of them, else shuffled."""
+    if needed.count() <= BROADCAST:
+        needed = F.broadcast(needed)
+    return texts.join(needed, F.col("_node") == F.col("_need"), "left_semi")
 
-    return work
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return durable(pairs.select(F.col("a").alias("_need")).union(pairs.select("b")).distinct())
 
-def _candidates(turn: int, small: int) -> Callable[[pa.Table], Iterator[pa.RecordBatch]]:
-    """Pairs of one block and of different components that can be near by sizes, places and sketches.
 
-    Small blocks give all their pairs in turn 0. In larger ones every member meets one pivot of the largest component
-    in turns 0 to ROUNDS - 1, and all members of other components in turn ROUNDS.
-    """
+def _with_ends(pairs: DataFrame, made: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with the columns of both ends, marked _a and _b."""
+    one, two = (made.select(F.col("_node").alias(e), *[F.col(c).alias(f"{c}_{e}") for c in columns]) for e in ("a", "b"))
+    return pairs.join(two, "b").join(one, "a")
+
+
+def _sketched(pairs: DataFrame, slim: DataFrame) -> DataFrame:
+    """Those of ``pairs`` that can be near by their whole sketches, made equally long by folding."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for i, (n, m, x, y) in enumerate(zip(*(batch[c].to_pylist() for c in ("_n_a", "_n_b", "_fine_a", "_fine_b")), strict=True)):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                size = min(len(x), len(y))
+                if 9 * int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum(dtype=np.int64)) <= n + m:
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], ["a", "b"]).take(pa.array(kept, pa.int64()))
 
-    def work(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node, label, n, at = (rows[c].to_numpy() for c in ("_node", "_label", "_n", "_at"))
-        n, at = n.astype(np.int64), at.astype(np.int64)
-        bits = np.frombuffer(b"".join(rows["_sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
-        starts, sizes = _starts(rows["_s"].to_numpy())
-        size_of, group = np.repeat(sizes, sizes), np.repeat(np.arange(len(starts)), sizes)
-
-        def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            both = n[a] + n[b]
-            # The first shingle that two texts share leaves both enough of theirs from there on.
-            k = (label[a] != label[b]) & (9 * np.minimum(n[a] - at[a], n[b] - at[b]) >= 4 * both)
-            a, b, both = a[k], b[k], both[k]
-            k = 9 * np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64) <= both
-            return a[k], b[k]
-
-        out = []
-        if turn == 0:
-            own = np.flatnonzero(size_of <= small)
-            for step in range(1, small):
-                own = own[own + step < len(n)]
-                own = own[group[own] == group[own + step]]
-                if not len(own):
-                    break
-                out.append(near(own, own + step))
-        for g in np.flatnonzero(sizes > small):
-            own = np.arange(starts[g], starts[g] + sizes[g])
-            if turn < ROUNDS:
-                names, where, count = np.unique(label[own], return_inverse=True, return_counts=True)
-                first = own[count[where] == count.max()]
-                mixed = (node[first].view(np.uint64) ^ np.uint64(turn)) * np.uint64(0x9E3779B97F4A7C15)
-                out.append(near(np.full(len(own), first[np.argmin(mixed)]), own))
-            else:
-                for top in range(0, len(own), 256):
-                    some = own[top : top + 256]
-                    a, b = np.repeat(some, len(own)), np.tile(own, len(some))
-                    out.append(near(a[a < b], b[a < b]))
-        for a, b in out:
-            if len(a):
-                x, y = node[a], node[b]
-                ends = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
-
-    return work
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``pairs`` whose texts are near, by their whole sets of shingles."""
-    pairs = durable(pairs)
-    needed = pairs.select(F.col("a").alias("_need")).union(pairs.select("b")).distinct()
+    made = _chosen(slim, _ends(pairs)).select("_node", "_n", F.coalesce("_fine", "_coarse").alias("_fine"))
+    return _with_ends(pairs, made, ["_n", "_fine"]).select("a", "b", "_n_a", "_n_b", "_fine_a", "_fine_b").mapInArrow(check, "a long, b long")
+
+
+def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of ``pairs`` whose texts are near: by their sketches first, then by their whole sets of shingles."""
+    pairs = durable(_sketched(durable(pairs), slim))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_node", "_set"])
 
-    chosen = texts.join(needed, F.col("_node") == F.col("_need"), "left_semi").dropDuplicates(["_node"])
-    made = durable(chosen.mapInArrow(sets, "_node long, _set array<long>"))
-    one, two = (made.select(F.col("_node").alias(c), F.col("_set").alias(f"_{c}")) for c in ("a", "b"))
-    same = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(two, "b").join(one, "a").where(9 * same >= 4 * (F.size("_a") + F.size("_b"))).select("a", "b")
+    made = durable(_chosen(texts, _ends(pairs)).dropDuplicates(["_node"]).mapInArrow(sets, "_node long, _set array<long>"))
+    same = F.size(F.array_intersect("_set_a", "_set_b"))
+    return _with_ends(pairs, made, ["_set"]).where(9 * same >= 4 * (F.size("_set_a") + F.size("_set_b"))).select("a", "b")
+
+
+def _pivoted(large: DataFrame) -> DataFrame:
+    """Pairs of each text of a large block and one pivot, of the block's largest component, that can be near."""
+    one = F.struct(F.xxhash64("_node").alias("h"), F.col("_node").alias("_node_p"), *[F.col(c).alias(f"{c}_p") for c in ("_n", "_at", "_coarse", "_label")])
+    pivots = large.groupBy("_s", "_label").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("p"))
+    pivots = pivots.groupBy("_s").agg(F.max(F.struct("c", "p")).alias("top")).select(F.col("_s").alias("_ps"), "top.p.*").drop("h")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.arange(batch.num_rows)
+            k = _rows(batch).near(every, _rows(batch, "_p"), every)
+            yield _pairs(batch["_node"].to_numpy()[k], batch["_node_p"].to_numpy()[k])
+
+    return large.join(pivots, (F.col("_s") == F.col("_ps")) & (F.col("_label") != F.col("_label_p"))).mapInArrow(check, "a long, b long")
+
+
+def _tiled(large: DataFrame, tile: int) -> DataFrame:
+    """All pairs of a large block of different components that can be near, in tiles of some ``tile`` rows.
+
+    Rows of the largest component are not compared with each other: every other row meets every row of the block once.
+    """
+    counts = large.groupBy("_s", "_label").agg(F.count(F.lit(1)).alias("c"))
+    tops = counts.groupBy("_s").agg(F.sum("c").alias("all"), F.max(F.struct("c", "_label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+    parts = lambda rows: F.ceil(rows / F.lit(tile)).cast("int")
+    plan = tops.where("labels > 1").select(
+        F.col("_s").alias("_ps"), F.col("top._label").alias("_top"), parts(F.col("all")).alias("_chunks"), parts(F.col("all") - F.col("top.c")).alias("_groups")
+    )
+    rows = large.join(plan, F.col("_s") == F.col("_ps"))
+    own = ["_s", "_node", "_n", "_at", "_coarse", "_label"]
+
+    def part(of: str, seed: int) -> Column:
+        return F.pmod(F.xxhash64("_node", F.lit(seed)), F.col(of)).cast("int")
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    all_rows = rows.select(*own, part("_chunks", 1).alias("_chunk"), every("_groups").alias("_group"), F.lit(False).alias("_other"))
+    others = rows.where("_label <> _top").select(*own, part("_groups", 2).alias("_group"), every("_chunks").alias("_chunk"), F.lit(True).alias("_other"))
+    keys = ["_s", "_chunk", "_group"]
+    dealt = all_rows.unionByName(others).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(whole_groups(keys, _tiles), "a long, b long")
 
 
 def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -178,43 +281,69 @@ def keyed(df: DataFrame, text_col: str = "text") -> DataFrame:
     return df.withColumn("_node", F.xxhash64(text_or_empty(text_col)))
 
 
-def near_texts(df: DataFrame, text_col: str = "text", small: int = SMALL) -> DataFrame:
+def near_texts(df: DataFrame, text_col: str = "text", small: int = SMALL, tile: int = TILE) -> DataFrame:
     """``node`` and ``component`` of every text (``_node`` of keyed()) that is near another one, or near one that is, and so on.
 
     Texts are near at a Jaccard similarity of 0.8 or more of their sets of five-word shingles, whatever their number,
     sizes and distance in ``df``: every pair is found, up to clashes of 64-bit hashes. Texts without words are near
-    one another. No rows where no text is near another.
-
-    Near texts share a shingle of their prefixes, so texts meet under the shingles of these; sizes, places and
-    sketches rule out pairs that can't be near, and the sets of the others are compared. In blocks of more than ``small``
-    texts those that a pivot already ties together are not compared with each other: components are all that is asked.
+    one another. No rows where no text is near another, or for an empty table. A very long text is one set of hashes.
+
+    First SimHash fingerprints within DISTANCE bits, found by pigeonring chains, link what is nearest. What differs in
+    more bits is found by a join: near texts share a shingle of their prefixes, so texts meet under the shingles of
+    these; sizes, places and sketches rule out pairs that can't be near, and the whole sets of the others are compared.
+    Blocks of up to ``small`` texts are compared at once. In larger ones a pivot of the largest component meets all others first;
+    then what still is in different components is compared in tiles. Pairs that are linked already are passed over:
+    components are all that is asked.
     """
     texts = keyed(df, text_col).select("_node", text_or_empty(text_col).alias("_text"))
     often, counts = _frequent(texts)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            found = [shingles(x.as_py()) for x in batch.column(1)]
-            heads = [prefix(s, often, counts).view(np.int64) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array(heads, pa.list_(pa.int64())),
-                 pa.array([sketch(s) for s in found], pa.binary())], ["_node", "_n", "_prefix", "_sketch"],
-            )
-
-    slim = durable(texts.mapInArrow(compute, "_node long, _n int, _prefix array<long>, _sketch binary").dropDuplicates(["_node"]))
-    dealt = slim.select("_node", F.posexplode("_prefix").alias("_at", "_s")).repartition("_s").sortWithinPartitions("_s")
-    blocks = dealt.mapInArrow(_whole_blocks(_shared(small)), "_node long, _at int, _s long, _large boolean")
-    blocks = durable(durable(blocks).join(slim.select("_node", "_n", "_sketch"), "_node"))
-    edges, component = None, None
-    for turn in range(ROUNDS + 1):
-        rows = blocks if turn == 0 else blocks.where("_large")
-        if component is not None:
-            rows = rows.join(component, rows["_node"] == component["node"], "left")
-        label = F.col("_node") if component is None else F.coalesce("component", "_node")
-        rows = rows.select("_s", "_node", "_n", "_at", "_sketch", label.alias("_label"))
-        rows = rows.repartition("_s").sortWithinPartitions("_s", "_node")
-        pairs = rows.mapInArrow(_whole_blocks(_candidates(turn, small)), "a long, b long").distinct()
-        new = _verified(pairs, texts)
-        edges = new if component is None else component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)
-        component = durable(connected_components(edges))
-    return component
+            rows = []
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if node in seen:
+                    continue
+                seen.add(node)
+                found = shingles(plain := text.as_py())
+                head, rare = prefix(found, often, counts)
+                fine = sketch(found)
+                rows.append((
+                    node, len(found), head.view(np.int64), rare, fold(fine, SKETCH // 8).tobytes(),
+                    None if 8 * len(fine) == SKETCH else fine.tobytes(), fingerprint(plain, FINGERPRINT_WORDS),
+                ))
+            columns = zip(*rows, strict=True) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
+
+    kinds = {"_node": pa.int64(), "_n": pa.int32(), "_prefix": pa.list_(pa.int64()), "_rare": pa.int32(), "_coarse": pa.binary(), "_fine": pa.binary(), "_fp": pa.int64()}
+    shape = "_node long, _n int, _prefix array<long>, _rare int, _coarse binary, _fine binary, _fp long"
+    by_task = durable(texts.mapInArrow(compute, shape))  # each text once a task
+    slim = durable(by_task.drop("_prefix", "_rare").dropDuplicates(["_node"]))
+
+    prints = slim.groupBy("_fp").agg(F.min("_node").alias("_node"))
+    alike = slim.join(prints.select(F.col("_fp").alias("_f"), F.col("_node").alias("b")), F.col("_fp") == F.col("_f")).where("_node <> b")
+    edges = links(prints, DISTANCE).union(alike.select(F.col("_node").alias("a"), "b"))
+    component = durable(connected_components(_verified(edges, slim, texts)))
+
+    dealt = by_task.select("_node", "_rare", F.posexplode("_prefix").alias("_at", "_s"))
+    met = durable(_meeting(dealt.select("_s", "_node", "_at", (F.col("_at") >= F.col("_rare")).alias("_often")), small))
+
+    def labeled(rows: DataFrame, component: DataFrame) -> DataFrame:
+        known = slim.select("_node", "_n", "_coarse").join(component, F.col("_node") == F.col("node"), "left")
+        known = known.select(F.col("_node").alias("_k"), "_n", "_coarse", F.coalesce("component", "_node").alias("_label"))
+        return rows.join(known, F.col("_node") == F.col("_k")).select("_s", "_node", "_at", "_n", "_coarse", "_label")
+
+    blocks = labeled(met.where("not _large"), component).repartition("_s").sortWithinPartitions("_s")
+    pairs = blocks.mapInArrow(whole_groups(["_s"], _small_blocks), "a long, b long")
+    large = met.where("_large")
+    any_large = not large.isEmpty()
+    if any_large:
+        pairs = pairs.union(_pivoted(labeled(large, component)))
+
+    def joined(pairs: DataFrame) -> DataFrame:
+        new = _verified(pairs.distinct(), slim, texts)
+        return durable(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
+
+    component = joined(pairs)
+    return joined(_tiled(labeled(large, component), tile)) if any_large else component

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, starts_of, text_or_empty, whole_groups
 from .components import connected_components
 
 BITS = 64
@@ -114,11 +114,12 @@ def _within(x: np.ndarray, budgets: list[tuple[int, int]]) -> np.ndarray:
 
 def _large_block(fp: np.ndarray, key: int, distance: int) -> np.ndarray:
     """Labels as _forest's. Fingerprints that agree outside some ``distance`` free bits are close to one another."""
-    free = [b for b in range(BITS) if not key >> b & 1]
+    differ = int(np.bitwise_or.reduce(fp ^ fp[0]))
+    free = [b for b in range(BITS) if differ >> b & 1 and not key >> b & 1]
     label = np.arange(len(fp))
     while True:
         old = label
-        for bits in combinations(free, distance):
+        for bits in combinations(free, min(distance, len(free))):
             rest = fp & np.uint64(~sum(1 << b for b in bits) & (1 << BITS) - 1)
             order = np.argsort(rest, kind="stable")
             starts = np.flatnonzero(np.diff(rest[order], prepend=rest[order[0]] + np.uint64(1)))
@@ -134,7 +135,7 @@ def _large_block(fp: np.ndarray, key: int, distance: int) -> np.ndarray:
 def _block_links(fp: np.ndarray, key: int, budgets: list, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs that connect what is close within one block, under one for each of its fingerprints."""
     n = len(fp)
-    if n > MATRIX and distance <= 2:
+    if n > MATRIX:
         label = _large_block(fp, key, distance)
     else:
         label = np.arange(n)
@@ -147,26 +148,52 @@ def _block_links(fp: np.ndarray, key: int, budgets: list, distance: int) -> tupl
     return own, label[own]
 
 
-def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
+def _parts(key: int, distance: int) -> list[int]:
+    """Masks of ``distance + 1`` groups of the bits that ``key`` leaves free: a close pair agrees on one of them."""
+    free = [b for b in range(BITS) if not key >> b & 1]
+    cuts = [len(free) * i // (distance + 1) for i in range(distance + 2)]
+    return [sum(1 << b for b in free[i:j]) for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def links(nodes: DataFrame, distance: int = 2, most: int = MATRIX) -> DataFrame:
     """``a``, ``b``: edges that connect every two of ``nodes`` (``_fp`` distinct, ``_node``) within ``distance`` bits.
 
     Each fingerprint goes under two keys for each segment; a pair within the distance meets under one of them and is
     then held to the budgets of its chain. Within a block of up to SMALL fingerprints every close pair is an edge; in
-    larger ones a forest stands for them. Blocks over MATRIX fingerprints are not compared pair by pair: for each
-    choice of ``distance`` free bits, those that agree on all others are joined, which is as exact and linear.
+    larger ones a forest stands for them. A block of more than ``most`` fingerprints is dealt out once more, by groups of
+    the bits that its key leaves free, so what meets in one task agrees on all bits but some 21 (for 2 differing bits)
+    and is bounded by these. Where such a part is still above MATRIX, fingerprints that agree on all but ``distance``
+    bits are joined, for each choice of bits, which is as exact and linear.
     """
     ways = chains(distance)
     keys = F.array(*[
         F.struct(F.lit(i).alias("_way"), F.col("_fp").bitwiseAND(F.lit(_signed(w["key"]))).alias("_key"))
         for i, w in enumerate(ways)
     ])
-    blocks = nodes.select(F.inline(keys), "_fp", "_node").repartition("_way", "_key").sortWithinPartitions("_way", "_key", "_fp")
+    met = nodes.select(F.inline(keys), "_fp", "_node")
+    hot = met.groupBy("_way", "_key").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select("_way", "_key", F.lit(True).alias("_hot"))
+    hot = durable(hot)
+    plain = met.withColumn("_part", F.lit(0)).withColumn("_sub", F.lit(0).cast("long"))
+    if hot.isEmpty():
+        blocks = plain
+    else:
+        parts = [_parts(w["key"], distance) for w in ways]
+        deeper = F.array(*[
+            F.array(*[
+                F.struct(F.lit(k + 1).alias("_part"), F.col("_fp").bitwiseAND(F.lit(_signed(mask))).alias("_sub"))
+                for k, mask in enumerate(own)
+            ])
+            for own in parts
+        ])
+        marked = met.join(hot, ["_way", "_key"], "left")
+        blocks = plain.join(hot, ["_way", "_key"], "left_anti").unionByName(
+            marked.where("_hot").select("_way", "_key", "_fp", "_node", F.inline(F.get(deeper, F.col("_way"))))
+        )
+    columns = ["_way", "_key", "_part", "_sub"]
+    blocks = blocks.repartition(*columns).sortWithinPartitions(*columns, "_fp")
     kind = nodes.schema["_node"].dataType.simpleString()
 
-    def pairs(way: np.ndarray, key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cuts = np.flatnonzero((np.diff(way) != 0) | (np.diff(key) != 0)) + 1
-        starts = np.concatenate([[0], cuts])
-        sizes = np.diff(np.append(starts, len(fp)))
+    def pairs(starts: np.ndarray, sizes: np.ndarray, way: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         group, out = np.repeat(np.arange(len(starts)), sizes), []
         size_of = sizes[group]
         small = np.flatnonzero((size_of > 1) & (size_of <= SMALL))
@@ -187,28 +214,15 @@ def links(nodes: DataFrame, distance: int = 2) -> DataFrame:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            part = pa.Table.from_batches([batch])
-            held = part if held is None else pa.concat_tables([held, part])
-            way, key = held["_way"].to_numpy(), held["_key"].to_numpy()
-            last = np.flatnonzero((way[:-1] != way[-1]) | (key[:-1] != key[-1])) if len(way) else []
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last block may go on
-            if cut:
-                yield from found(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield from found(held)
-
     def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        node = rows["_node"].combine_chunks()
-        a, b = pairs(rows["_way"].to_numpy(), rows["_key"].to_numpy(), rows["_fp"].to_numpy().view(np.uint64))
+        node, way = rows["_node"].combine_chunks(), rows["_way"].to_numpy()
+        starts, sizes = starts_of(way, *(rows[c].to_numpy() for c in columns[1:]))
+        a, b = pairs(starts, sizes, way, rows["_fp"].to_numpy().view(np.uint64))
         for at in range(0, len(a), 100_000):
             ends = [node.take(pa.array(x[at : at + 100_000])) for x in (a, b)]
             yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
-    return blocks.mapInArrow(meet, f"a {kind}, b {kind}").distinct()
+    return blocks.mapInArrow(whole_groups(columns, found), f"a {kind}, b {kind}").distinct()
 
 
 def simhash_groups(
@@ -219,8 +233,8 @@ def simhash_groups(
     Fingerprints link at ``distance`` or fewer differing bits; ``component_id`` is the smallest id that a row reaches
     over links, itself included. A null text counts as empty, and texts without words share fingerprint 0, linked
     like any other. Rows that repeat an id are one node of the graph under each of their fingerprints. A null id is
-    never a component's smallest unless alone with its fingerprint. An empty table gives an empty result. Other
-    columns of ``df`` are not read.
+    never a component's smallest unless alone with its fingerprint. A text of any length is one fingerprint. An empty
+    table gives an empty result. Other columns of ``df`` are not read.
 
     Copies collapse to their fingerprint before anything is compared, so a group of copies of any size is one node.
     Texts are read once; (id, fingerprint) is kept.
