@@ -19,6 +19,8 @@ BLOCKS = 4096
 TAIL = 64
 #: Changes of one document for another that bring a quota's last words nearer.
 SWAPS = 16
+#: Share of a source's words, as 1 / BIG, above which a document is tried by itself; documents from which a zone is looked at more closely.
+BIG, ZONE = 1024, 1024
 
 
 def targets(sizes: dict, weights: Sequence[float], limit: float = 3.0) -> dict:
@@ -105,6 +107,141 @@ def choose(sizes: np.ndarray, left: int) -> np.ndarray:
     return taken
 
 
+def _slim(df: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> list:
+    """Columns by which a row is placed: source, size, a 128-bit key of (id, text), and a place from 0 to 2^48 - 1 in the source's order.
+
+    The upper 12 bits of a place are the block's number after the source's permutation, the others come from the key.
+    """
+    u, v = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), F.xxhash64(F.col(text_col), F.lit(seed), F.col(id_col))
+    return [
+        F.col(source_col).cast("string").alias("_s"), F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("_size"),
+        u.alias("_u"), v.alias("_v"),
+    ]
+
+
+def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """``rows`` with what the plan has for their source, their block ``_block`` and their place ``_p``."""
+    block = F.pmod(F.col("_f") * F.shiftrightunsigned("_u", 52) + F.col("_g"), F.lit(BLOCKS))
+    return (
+        rows.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_ps"))).withColumn("_block", block.cast("int"))
+        .withColumn("_p", F.col("_block") * F.lit(1 << 36) + F.shiftrightunsigned("_u", 16).bitwiseAND(F.lit((1 << 36) - 1)))
+    )
+
+
+_PICKS = "_s string, _u long, _v long, _nr int, _size long"
+
+
+def _tried(group: pd.DataFrame) -> pd.DataFrame:
+    """Which rows of one source to take so that their sizes come near ``_left``; rows that repeat one are numbered."""
+    group = group.sort_values(["_p", "_u", "_v", "_size"], kind="stable")
+    group = group.assign(_nr=(group.groupby(["_u", "_v"]).cumcount() + 1).astype(np.int32))
+    chosen = choose(group["_size"].to_numpy(), int(group["_left"].iloc[0]))
+    return group.loc[chosen, ["_s", "_u", "_v", "_nr", "_size"]]
+
+
+def _zones(small: DataFrame, rest: dict) -> dict:
+    """By source: (lo, hi, words before lo) of the places around those where its small documents reach ``rest`` words.
+
+    The blocks of all places are summed up first; where the zone has more than ZONE documents, the parts of its blocks
+    are, and so on, so a source of any size ends with a zone of some hundred documents.
+    """
+    spark = small.sparkSession
+    found = {}
+    open_ones = {s: (0, 1 << 48, 0, left) for s, left in rest.items()}
+    for shift in (36, 24, 12, 0):
+        if not open_ones:
+            break
+        ranges = spark.createDataFrame([(s, *x) for s, x in open_ones.items()], "_ps string, _from long, _to long, _w long, _goal long")
+        here = small.select("_s", "_p", "_size").join(F.broadcast(ranges), F.col("_s").eqNullSafe(F.col("_ps"))).where("_p >= _from and _p < _to")
+        blocks = here.groupBy("_s", "_w", "_goal", F.shiftright("_p", shift).alias("_b")).agg(F.sum("_size").alias("_words"), F.count(F.lit(1)).alias("_n"))
+        before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        blocks = durable(
+            blocks.withColumn("_w0", F.col("_w") + F.coalesce(F.sum("_words").over(before), F.lit(0))).withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        )
+        # From the last block that begins within the goal on, TAIL documents, or the last TAIL ones.
+        ends = blocks.groupBy("_s").agg(F.sum("_n").alias("_all"), F.max(F.when(F.col("_w0") <= F.col("_goal"), F.struct("_n0", "_b"))).alias("_end"))
+        ends = ends.select(F.col("_s").alias("_es"), F.greatest(F.lit(0), F.least(F.col("_end._n0"), F.col("_all") - TAIL)).alias("_first"), F.col("_end._b").alias("_eb"))
+        inside = (F.col("_n0") + F.col("_n") > F.col("_first")) & (F.col("_n0") < F.col("_first") + TAIL) | (F.col("_b") == F.col("_eb"))
+        zones = (
+            blocks.join(ends, F.col("_s").eqNullSafe(F.col("_es"))).where(inside)
+            .groupBy("_s").agg(F.min("_b").alias("lo"), F.max("_b").alias("hi"), F.min("_w0").alias("w0"), F.sum("_n").alias("n")).collect()
+        )
+        still = {}
+        for r in zones:
+            lo, hi, w0 = r["lo"] << shift, (r["hi"] + 1) << shift, r["w0"]
+            if r["n"] > ZONE and shift:
+                still[r["_s"]] = (lo, hi, w0, open_ones[r["_s"]][3])
+            else:
+                found[r["_s"]] = (lo, hi, w0)
+        open_ones = still
+    return found
+
+
+def _plan(slim: DataFrame, weights: Sequence[float], limit: int, shards: int, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """One row per source, the picks among rows that are tried one by one, and the words of the whole mix.
+
+    A row of over 1 / BIG of its source's words is tried by itself, since it can't be placed by sums: BIG rows a source at most.
+    """
+    spark = slim.sparkSession
+    sizes = {r["_s"]: r["_w"] for r in slim.groupBy("_s").agg(F.sum("_size").alias("_w")).collect()}
+    target = targets(sizes, weights, limit)
+    rows = []
+    for s, size in sorted(sizes.items(), key=lambda x: (x[0] is None, x[0])):
+        factor, shift = _permutation(seed, s)
+        whole = min(limit, floor(target[s] / size + 1e-12)) if size else 0
+        rest = max(0, round(target[s] - whole * size)) if whole < limit and size else 0
+        rows.append([s, size, target[s], factor, shift, whole, rest])
+    shape = "_ps string, _source_size long, _target double, _f int, _g int, _whole int, _rest long"
+
+    placed = _placed(slim, spark.createDataFrame([tuple(r) for r in rows], shape)).where("_rest > 0")
+    is_big = F.col("_size") * BIG > F.col("_source_size")
+    big = placed.where(is_big)
+    big_words = {r["_s"]: r["_w"] for r in big.groupBy("_s").agg(F.sum("_size").alias("_w")).collect()}
+    share = {}
+    for s, size, _, _, _, _, rest in rows:
+        words = big_words.get(s, 0)
+        share[s] = max(rest - (size - words), rest * words // size if size else 0)
+    quota = spark.createDataFrame(list(share.items()), "_qs string, _left long")
+    big = big.join(F.broadcast(quota), F.col("_s").eqNullSafe(F.col("_qs"))).select("_s", "_u", "_v", "_p", "_size", "_left")
+    picks = durable(big.groupBy("_s").applyInPandas(_tried, _PICKS))
+    taken = {r["_s"]: r["_w"] for r in picks.groupBy("_s").agg(F.sum("_size").alias("_w")).collect()}
+
+    again, left = {}, {}  # where large ones don't fill the quota, the small ones are taken once or twice more
+    for s, size, _, _, _, whole, rest in rows:
+        if rest:
+            words, n = size - big_words.get(s, 0), rest - taken.get(s, 0)
+            again[s] = min(limit - whole, n // words) if words else 0
+            left[s] = n - again[s] * words if whole + again[s] < limit and words else 0
+    zone = _zones(placed.where(~is_big), {s: n for s, n in left.items() if n > 0})
+    quotas = [(r[5] + again.get(r[0], 0)) * BLOCKS + (((zone[r[0]][1] - 1) >> 36) + 1 if r[0] in zone else 0) for r in rows]
+    starts = split_quotas(quotas, shards, seed).cumsum(axis=0)
+    full = []
+    for i, r in enumerate(rows):
+        lo, hi, gone = zone.get(r[0], (0, 0, 0))
+        full.append((*r, again.get(r[0], 0), lo, hi, left.get(r[0], 0) - gone, [0, *starts[:-1, i].tolist()]))
+    plan = spark.createDataFrame(full, f"{shape}, _again int, _lo long, _hi long, _left long, _starts array<long>")
+    tail = _placed(slim, plan).where((F.col("_rest") > 0) & ~is_big & (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi")))
+    tail = tail.select("_s", "_u", "_v", "_p", "_size", "_left").groupBy("_s").applyInPandas(_tried, _PICKS)
+    return plan, durable(picks.union(tail)), round(sum(target.values()))
+
+
+def _copied(rows: DataFrame, plan: DataFrame, picks: DataFrame) -> DataFrame:
+    """``rows`` with ``_copies``, how often the mix takes each, and ``_shards``, the output shard of each copy."""
+    big = (F.col("_rest") > 0) & (F.col("_size") * BIG > F.col("_source_size"))
+    placed = _placed(rows, plan).withColumn("_whole", F.col("_whole") + F.when(big, 0).otherwise(F.col("_again")))
+    alone = big | (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi"))
+    sure = placed.where(~alone).withColumn("_more", (F.col("_p") < F.col("_lo")).cast("int"))
+    nr = F.row_number().over(Window.partitionBy("_s", "_u", "_v").orderBy("_size"))
+    chosen = picks.select(F.col("_s").alias("_cs"), F.col("_u").alias("_cu"), F.col("_v").alias("_cv"), F.col("_nr").alias("_cn"))
+    same = F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_u") == F.col("_cu")) & (F.col("_v") == F.col("_cv")) & (F.col("_nr") == F.col("_cn"))
+    tried = placed.where(alone).withColumn("_nr", nr).join(chosen, same, "left").withColumn("_more", F.col("_cn").isNotNull().cast("int"))
+    whole, copies = F.col("_whole"), F.col("_whole") + F.col("_more")
+    at = lambda e: F.when(e <= whole, (e - 1) * BLOCKS + F.col("_block")).otherwise(whole * BLOCKS + F.col("_block"))
+    shard = F.transform(F.sequence(F.lit(1), copies), lambda e: F.size(F.filter("_starts", lambda x: x <= at(e))) - 1)
+    drawn = sure.unionByName(tried.select(sure.columns)).withColumn("_copies", copies)
+    return drawn.withColumn("_shards", F.when(F.col("_copies") > 0, shard).otherwise(F.array().cast("array<int>")))
+
+
 def mix_sources(
     df: DataFrame,
     weights: Sequence[float] = (1, 2, 3),
@@ -114,122 +251,57 @@ def mix_sources(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row per row of ``df``: id, ``source``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``, ``shards``.
 
-    ``size``: words of the text (runs of other than ASCII white space; null: 0). ``target``: what ``targets`` gives
-    the row's source. ``copies``: how often the mix takes the document, 0 to ``limit``, whole each time; ``taken``:
-    copies times size; ``shards``: the output shard of each copy. ``carry``: columns of ``df`` to keep besides; no
-    others are read. A null source is a source; one without words takes each of its documents 0 times. Equal rows
+    ``size``: words of the text (runs of other than ASCII white space; null: 0), whatever its length. ``target``: what
+    ``targets`` gives the row's source. ``copies``: how often the mix takes the document, 0 to ``limit``, whole each
+    time; ``taken``: copies times size; ``shards``: the output shard of each copy. No other columns of ``df`` are read,
+    whatever their names. A null source is a source; one without words takes each of its documents 0 times. Equal rows
     are drawn each on its own. The same table and seed give the same result. An empty table gives an empty result.
 
     A hash deals each source into BLOCKS blocks and a keyed permutation orders them. A source gives every block once
-    for each whole multiple in target / size, then blocks by place up to the rest, and the documents around the last
-    place are tried one by one for what is still missing. Block quotas fall to shards by ``split_quotas``; a shard's
-    blocks are the next ones by place, so shards are disjoint. The text is read once; sizes are kept (some 40 bytes
-    a row). The driver holds one row per source, as the weights do, and no task gets more of a source than some
-    blocks of it.
+    for each whole multiple in target / size, then blocks by place up to the rest; the documents around the last
+    place, and those of over 1 / BIG of the source's words, are tried one by one. Block quotas fall to shards by
+    ``split_quotas``; a shard's blocks are the next ones by place, so shards are disjoint. The text is read once; sizes are
+    kept (some 40 bytes a row). The driver holds one row per source, as the weights do, and no task gets more of a source
+    than some BIG or ZONE of its rows. ``draw`` gives the mix itself.
     """
-    u = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    slim = durable(
-        df.select(
-            *[F.col(c).alias(f"_c_{c}") for c in carry],
-            F.col(id_col).alias("_id"),
-            F.col(source_col).cast("string").alias("_s"),
-            F.regexp_count(text_or_empty(text_col), F.lit(WORD)).cast("long").alias("_size"),
-            u.alias("_u"),
-            F.shiftrightunsigned(u, 52).cast("int").alias("_b"),
-        )
-    )
-    blocks = durable(slim.groupBy("_s", "_b").agg(F.sum("_size").alias("_w"), F.count(F.lit(1)).alias("_n")))
-    sizes = {r["_s"]: r["_w"] for r in blocks.groupBy("_s").agg(F.sum("_w").alias("_w")).collect()}
-    target = targets(sizes, weights, limit)
-
-    spark = df.sparkSession
-    rows = []
-    for s, size in sizes.items():
-        factor, shift = _permutation(seed, s)
-        whole = min(limit, floor(target[s] / size + 1e-12)) if size else 0
-        rest = max(0, round(target[s] - whole * size)) if whole < limit and size else 0
-        rows.append((s, size, target[s], factor, shift, whole, rest))
-    plan = spark.createDataFrame(rows, "_ps string, _source_size long, _target double, _f int, _g int, _whole int, _rest long")
-
-    def with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-        place = F.pmod(F.col("_f") * F.col("_b") + F.col("_g"), F.lit(BLOCKS))
-        return rows.join(F.broadcast(plan), F.col("_s").eqNullSafe(F.col("_ps"))).withColumn("_p", place)
-
-    before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        with_plan(blocks, plan)
-        .withColumn("_w0", F.coalesce(F.sum("_w").over(before), F.lit(0)))
-        .withColumn("_n0", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    )
-    # The zone: blocks from _lo to _hi, with the quota's end among them and TAIL documents where there are as many.
-    ends = placed.groupBy("_s").agg(
-        F.sum("_n").alias("_all"),
-        F.max(F.when((F.col("_w0") <= F.col("_rest")), F.struct("_n0", "_p"))).alias("_end"),
-    ).select(F.col("_s").alias("_es"), F.greatest(F.lit(0), F.least(F.col("_end._n0"), F.col("_all") - TAIL)).alias("_from"), F.col("_end._p").alias("_ep"))
-    inside = (F.col("_n0") + F.col("_n") > F.col("_from")) & (F.col("_n0") < F.col("_from") + TAIL) | (F.col("_p") == F.col("_ep"))
-    zones = (
-        placed.join(ends, F.col("_s").eqNullSafe(F.col("_es")))
-        .where(inside)
-        .groupBy("_s")
-        .agg(F.min("_p").alias("_lo"), (F.max("_p") + 1).alias("_hi"), F.min("_w0").alias("_w0"))
-        .collect()
-    )
-    zone = {r["_s"]: (r["_lo"], r["_hi"], r["_w0"]) for r in zones}
-    quotas = [whole * BLOCKS + (zone[s][1] if rest else 0) for s, _, _, _, _, whole, rest in rows]
-    starts = split_quotas(quotas, shards, seed).cumsum(axis=0)
-    full = []
-    for i, (s, size, goal, factor, shift, whole, rest) in enumerate(rows):
-        lo, hi, gone = zone[s] if rest else (0, 0, 0)
-        full.append((s, size, goal, factor, shift, whole, lo, hi, rest - gone, [0, *starts[:-1, i].tolist()]))
-    plan = spark.createDataFrame(
-        full, "_ps string, _source_size long, _target double, _f int, _g int, _whole int, _lo int, _hi int, _left long, _starts array<long>"
-    )
-    docs = with_plan(slim, plan)
-    in_zone = (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi"))
-    sure = docs.where(~in_zone).withColumn("_more", (F.col("_p") < F.col("_lo")).cast("int"))
-    tried = docs.where(in_zone).withColumn("_more", F.lit(0)).select(sure.columns)
-
-    def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_p", "_u", "_size"], kind="stable")
-        chosen = choose(group["_size"].to_numpy(), int(group["_left"].iloc[0]))
-        return group.assign(_more=chosen.astype(np.int32))
-
-    drawn = sure.unionByName(tried.groupBy("_s").applyInPandas(fill, sure.schema))
-    copies = F.col("_whole") + F.col("_more")
-    shard = F.transform(
-        F.sequence(F.lit(1), copies),
-        lambda e: F.size(
-            F.filter(
-                F.col("_starts"),
-                lambda x: x <= F.when(e <= F.col("_whole"), (e - 1) * BLOCKS + F.col("_p")).otherwise(
-                    F.col("_whole") * BLOCKS + F.col("_p")
-                ),
-            )
-        ) - 1,
-    )
-    return drawn.select(
+    slim = durable(df.select(F.col(id_col).alias("_id"), *_slim(df, id_col, text_col, source_col, seed)))
+    plan, picks, _ = _plan(slim, weights, limit, shards, seed)
+    return _copied(slim, plan, picks).select(
         F.col("_id").alias(id_col),
         F.col("_s").alias("source"),
         F.col("_size").alias("size"),
         F.col("_source_size").alias("source_size"),
         F.col("_target").alias("target"),
-        copies.alias("copies"),
-        (copies * F.col("_size")).cast("long").alias("taken"),
-        F.when(copies > 0, shard).otherwise(F.array().cast("array<int>")).alias("shards"),
-        F.col("_u").alias("order_key"),
-        *[F.col(f"_c_{c}").alias(c) for c in carry],
+        F.col("_copies").alias("copies"),
+        (F.col("_copies") * F.col("_size")).cast("long").alias("taken"),
+        F.col("_shards").alias("shards"),
     )
 
 
-def draw(mixed: DataFrame, seed: int = 7) -> DataFrame:
-    """The mix itself: one row per copy with its ``shard``, each shard in one task, shuffled within it."""
-    copies = mixed.select("*", F.posexplode("shards").alias("epoch", "shard")).drop("shards")
-    return (
-        copies.withColumn("order_key", F.xxhash64(F.lit(seed), "epoch", "order_key"))
-        .repartition("shard")
-        .sortWithinPartitions("shard", "order_key")
-    )
+def draw(
+    df: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    limit: int = 3,
+    shards: int = 16,
+    seed: int = 7,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    task_words: int = 20_000_000,
+) -> DataFrame:
+    """The mix itself: one row of ``df`` per copy that mix_sources takes, with its ``shard`` (a column of that name is replaced).
+
+    A row's copies are worked out where it is read, from the plan of its source; only copies move. A shard is dealt
+    over tasks of some ``task_words`` words and shuffled within each. Nulls, repeated rows, ties and empty tables as in mix_sources.
+    """
+    own = [c for c in df.columns if c != "shard"]
+    rows = df.select(F.struct(*[F.col(c) for c in own]).alias("_row"), *_slim(df, id_col, text_col, source_col, seed))
+    plan, picks, words = _plan(durable(rows.drop("_row")), weights, limit, shards, seed)
+    copies = _copied(rows, plan, picks).where("_copies > 0").select("_row", "_u", F.posexplode("_shards").alias("_epoch", "shard"))
+    copies = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_epoch", "_u"))
+    tasks = words // (task_words * shards) + 1
+    copies = copies.withColumn("_task", F.pmod(F.shiftrightunsigned("_order", 20), F.lit(tasks)))
+    return copies.repartition(shards * tasks, "shard", "_task").sortWithinPartitions("shard", "_task", "_order").select("_row.*", "shard")

@@ -140,11 +140,46 @@ def test_mix_sources(spark):
         assert 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] and len(r["shards"]) == r["copies"]
         assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(goal[r["source"]])
     for s in size:
-        assert abs(taken[s] - goal[s]) <= max(3, 0.02 * goal[s]) or s == "b"
-    drawn = mixing.draw(mixed)
-    assert drawn.count() == sum(r["copies"] for r in got)
-    assert {r["shard"] for r in drawn.select("shard").distinct().collect()} <= set(range(4))
-    assert mixing.mix_sources(df.limit(0)).count() == 0
+        assert abs(taken[s] - goal[s]) <= 3
+    clashing = df.withColumn("shard", F.lit("x")).withColumn("_row", F.lit("y")).withColumn("_s", F.lit("z"))
+    drawn = mixing.draw(clashing, shards=4, task_words=2000)
+    assert drawn.columns == ["doc_id", "text", "source", "_row", "_s", "shard"]
+    rows = drawn.collect()
+    assert Counter((r["doc_id"], r["shard"]) for r in rows) == Counter((r["doc_id"], s) for r in got for s in r["shards"])
+    assert {(r["doc_id"], r["text"], r["source"], r["_row"], r["_s"]) for r in rows} <= {(*r, "y", "z") for r in df.collect()}
+    ids = [r["doc_id"] for r in rows]
+    assert ids != sorted(ids)
+    assert mixing.mix_sources(df.limit(0)).count() == 0 and mixing.draw(df.limit(0)).count() == 0
+
+
+def test_zones_of_a_large_source(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "ZONE", 20)
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "_permutation", lambda seed, source: (1, 0))
+    rows = [(i, "w " * (1 + i % 50), "big" if i < 3000 else "other") for i in range(4000)] + [(7, "w", "big")] * 40
+    df = spark.createDataFrame(rows, DOCS + ", source string")
+    got = mixing.mix_sources(df, weights=(1, 3)).collect()
+    size, taken = Counter(), Counter()
+    for r in got:
+        size[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+    goal = mixing.targets(dict(size), (1, 3))
+    assert len(got) == len(rows) and all(abs(taken[s] - goal[s]) <= 2 for s in size)
+
+
+def test_mixture_stage(spark):
+    import corpus_pipeline
+
+    rows = [(i % 50, "same words" if i % 2 else f"text {i % 50} of some words", None, f"s{i % 3}" if i % 4 else None, None, "k") for i in range(200)]
+    rows += [(None, None, None, None, None, "k")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string")
+    out = corpus_pipeline.mixture(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    have, found = Counter(tuple(r)[:5] for r in rows), Counter(tuple(r) for r in out.collect())
+    assert found and all(n <= 3 * have[k] for k, n in found.items())
+    mixed = mixing.mix_sources(docs, corpus_pipeline.WEIGHTS, corpus_pipeline.LIMIT, seed=corpus_pipeline.SEED)
+    assert sum(found.values()) == mixed.agg(F.sum("copies")).first()[0]
+    assert corpus_pipeline.mixture(spark, docs.limit(0), "").count() == 0
 
 
 # token counts
