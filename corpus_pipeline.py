@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from breathmark.llm.language_id import UNDETERMINED, fit_on, held_out, identify_languages
 from breathmark.llm.line_dedup import line_dedup
-from breathmark.llm.mixing import mix_sources
+from breathmark.llm.mixing import draw
 from breathmark.llm.near_text import keyed, near_texts
 from breathmark.llm.packing import pack_documents
 from breathmark.llm.queries import tokenizer
@@ -50,14 +50,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    docs = docs.select(COLUMNS)
-    mixed = mix_sources(docs, WEIGHTS, LIMIT, seed=SEED)
-    same = Window.partitionBy("key")  # rows that repeat a document, told apart by number
-    taken = mixed.select(F.col("order_key").alias("key"), "copies").withColumn("nr", F.row_number().over(same.orderBy("copies")))
-    keyed = docs.withColumn("key", F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn("nr", F.row_number().over(same.orderBy("doc_id")))
-    joined = keyed.join(taken.where("copies > 0"), ["key", "nr"])
-    return joined.select(*COLUMNS, F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select(COLUMNS)
+    """Every document as often as the mix takes it, shuffled within shards.
+
+    Sources without words, null ones too, and texts that the mix doesn't take give no row; rows that repeat a document are drawn each on
+    its own. An empty table gives an empty result. Texts move once, as copies, whatever their length.
+    """
+    return draw(docs.select(COLUMNS), WEIGHTS, LIMIT, seed=SEED).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
