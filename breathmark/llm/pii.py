@@ -18,16 +18,26 @@ _JOIN = rf"(?:[ .-]?\(|\)[ .-]?|[.-]| (?!{_OTHER}))?"
 
 #: What is looked for, in the order in which it is tried at each place. None ends or begins within a longer number or word.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-][\p{L}\p{N}.-]*\.\p{L}{2,}",
     "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key))\s*[:=]\s*[\"']?[A-Za-z0-9_-]{16,}",
-    "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)\b",
+    "ip": r"(?<![0-9.]|[vV]|[vV]ersion )[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
     "date": r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9]|[./-][0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9]|-[0-9])",
-    "phone": rf"(?<![0-9])\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|(?<![0-9])\+[0-9](?:{_JOIN}[0-9]){{8,14}}(?![0-9])|(?<![0-9])\(?[0-9]{{3}}\)?[ .-][0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]|-[0-9])",
+    "phone": rf"(?<![0-9])\+1[ .-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .-]?[0-9]{{3}}[ .-]?[0-9]{{4}}(?![0-9])|(?<![0-9])\+[0-9](?:{_JOIN}[0-9]){{8,14}}(?![0-9])|(?<![0-9])(?:\([0-9]{{3}}\)[ .-]?|[0-9]{{3}}[ .-])[0-9]{{3}}[ .-][0-9]{{4}}(?![0-9]|-[0-9])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{4,5})(?![0-9])",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: First digits and lengths of payment cards by issuer (fixed values): Visa, Mastercard, American Express, Discover, JCB, Diners, UnionPay, Maestro.
+ISSUED = (
+    r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5][0-9]{2}|222[1-9]|22[3-9][0-9]|2[3-6][0-9]{2}|27[01][0-9]|2720)[0-9]{12}|3[47][0-9]{13}"
+    r"|(?:6011|65[0-9]{2}|64[4-9][0-9])[0-9]{12}(?:[0-9]{3})?|35(?:2[89]|[3-8][0-9])[0-9]{12}|3(?:0[0-5]|[68][0-9])[0-9]{11}|62[0-9]{14,17}"
+    r"|(?:5018|5020|5038|5893|6304|6759|676[1-3])[0-9]{9,15})$"
+)
+#: Groups of an account number of which the last ones may be words that follow it.
+LEAST_GROUPS = 4
+#: Characters that 128 hex digits turn, three for each.
+TURNED = 42
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -64,11 +74,19 @@ class Pseudonyms:
         return F.aggregate(steps, start, turn, lambda s: s.x * F.lit(b) + s.y)
 
     def _turn(self, text: Column, drawn: Column, hexadecimal: Column) -> Column:
-        """Each digit and letter moved on within its own kind; other characters stay. Large and small letters alike."""
+        """Each digit and letter moved on within its own kind; other characters stay. Large and small letters alike.
 
+        ``drawn`` turns the first TURNED characters, and what is drawn from it and their number each further so many.
+        """
+        more = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / TURNED).cast("int")), lambda n: F.when(n == 0, drawn).otherwise(F.sha2(F.concat_ws("|", drawn, n.cast("string")), 512)))
+        return let(more, lambda streams: self._turned(text, streams, hexadecimal))
+
+    @staticmethod
+    def _turned(text: Column, streams: Column, hexadecimal: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
             code = F.ascii(c)
-            by = F.conv(F.substr(drawn, F.pmod(i * 3, F.lit(126)) + 1, F.lit(3)), 16, 10).cast("int")
+            stream = F.get(streams, F.floor(i / TURNED).cast("int"))
+            by = F.conv(F.substr(stream, i % TURNED * 3 + 1, F.lit(3)), 16, 10).cast("int")
 
             def within(first: int, size: Column | int) -> Column:
                 return F.char((F.pmod(code - first + by, size if isinstance(size, Column) else F.lit(size)) + first).cast("long"))
@@ -154,13 +172,13 @@ class Pseudonyms:
         shown = let(self.number(n, (898, 99 * 9999), "ssn"), show)
         return F.when(part[0].between(1, 899) & (part[0] != 666) & (part[1] > 0) & (part[2] > 0), shown)
 
-    def _into(self, form: Column, digits: Column) -> Column:
-        """``form`` with its digits replaced, in order."""
+    def _into(self, form: Column, new: Column, kind: str = "0-9") -> Column:
+        """``form`` with its digits, or characters of ``kind``, replaced in order."""
         places = F.transform(
             F.split(form, ""),
             lambda c, i: F.when(
-                c.rlike("[0-9]"),
-                F.substr(digits, F.length(F.regexp_replace(F.substr(form, F.lit(1), i + 1), "[^0-9]", "")), F.lit(1)),
+                c.rlike(f"[{kind}]"),
+                F.substr(new, F.length(F.regexp_replace(F.substr(form, F.lit(1), i + 1), f"[^{kind}]", "")), F.lit(1)),
             ).otherwise(c),
         )
         return F.array_join(places, "")
@@ -188,12 +206,13 @@ class Pseudonyms:
         return F.aggregate(F.transform(F.sequence(F.lit(1), n), worth), F.lit(0), lambda a, x: a + x)
 
     def card(self, s: Column) -> Column:
-        """All digits but the check digit, which is made anew; null if the number fails its own."""
+        """All digits but the issuer's first six and the check digit, which is made anew; null if the number fails its own or no issuer has such."""
 
         def made(digits: Column) -> Column:
-            body = self.string(F.substr(digits, F.lit(1), F.length(digits) - 1), "card")
+            account = self.string(F.substr(digits, F.lit(7), F.length(digits) - 7), "card")
+            body = F.concat(F.substr(digits, F.lit(1), F.lit(6)), account)
             whole = let(body, lambda b: F.concat(b, F.pmod(-self._luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
-            return F.when(self._luhn(digits) % 10 == 0, let(whole, lambda w: self._into(s, w)))
+            return F.when(digits.rlike(ISSUED) & (self._luhn(digits) % 10 == 0), let(whole, lambda w: self._into(s, w)))
 
         return let(F.regexp_replace(s, "[^0-9]", ""), made)
 
@@ -208,15 +227,29 @@ class Pseudonyms:
         return F.aggregate(F.split(s, ""), F.lit(0), step)
 
     def iban(self, s: Column) -> Column:
-        """The account; country stays and check digits are made anew. Null if they don't fit."""
-        country, account = F.substr(s, F.lit(1), F.lit(2)), F.substr(s, F.lit(5))
+        """The account; country stays and check digits are made anew. Null if they don't fit.
 
-        def show(new: Column) -> Column:
-            check = F.lit(98) - self._mod97(F.concat(new, country, F.lit("00")))
-            return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+        In groups, the longest run of them that fits is the number, and what follows stays.
+        """
+
+        def made(form: Column) -> Column:
+            whole = F.replace(form, F.lit(" "), F.lit(""))
+            country, account = F.substr(whole, F.lit(1), F.lit(2)), F.substr(whole, F.lit(5))
+
+            def show(new: Column) -> Column:
+                check = F.lit(98) - self._mod97(F.concat(new, country, F.lit("00")))
+                return F.concat(country, F.lpad(check.cast("string"), 2, "0"), new)
+
+            return let(let(self.string(account, "iban"), show), lambda new: F.concat(self._into(form, new, "A-Z0-9"), F.substr(s, F.length(form) + 1)))
+
+        def fits(form: Column) -> Column:
+            whole = F.replace(form, F.lit(" "), F.lit(""))
+            return F.length(whole).between(15, 34) & (self._mod97(F.concat(F.substr(whole, F.lit(5)), F.substr(whole, F.lit(1), F.lit(4)))) == 1)
 
-        made = let(self.string(account, "iban"), show)
-        return F.when(self._mod97(F.concat(account, F.substr(s, F.lit(1), F.lit(4)))) == 1, made)
+        groups = F.split(s, " ")
+        fewest = F.least(F.size(groups), F.lit(LEAST_GROUPS))
+        forms = F.transform(F.sequence(F.size(groups), fewest, F.lit(-1)), lambda n: F.array_join(F.slice(groups, F.lit(1), n), " "))
+        return let(F.get(F.filter(forms, fits), F.lit(0)), lambda form: F.when(form.isNotNull(), made(form)))
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,10 +257,11 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     Kinds: PATTERNS. E-mail addresses, telephone numbers, addresses of the internet protocol, payment cards (Luhn),
     account numbers (mod 97), social security numbers, dates, and values given to words such as token or password.
-    A number or date that fails its check stays, and so does all other text. The replacement is a permutation of the
+    A number or date that fails its check stays, and so does all other text, version numbers and cards of no issuer too. The replacement is a permutation of the
     values of one format under ``key``: equal values get equal pseudonyms in all documents, written as the original
     was, different values different ones, and pseudonyms pass the check that the originals passed; one value in its
-    format's many may get itself. A null text stays null with counts of 0, an empty one empty. Rows are independent:
+    format's many may get itself. A null text stays null with counts of 0, an empty one empty. Very long texts and values
+    are worked on whole: no pattern repeats a group without a bound, so none runs deeper with its text. Rows are independent:
     repeated rows give repeated results, an empty table none. Other columns of ``df`` are not read.
 
     The text is cut at its matches by one pattern; only the matches are looked at again, and texts without a
