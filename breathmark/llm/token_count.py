@@ -99,11 +99,16 @@ class Unigram:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Unigram:
-    """The pieces and scores of a sentencepiece file, read as a unigram model."""
+    """The normal pieces of a sentencepiece file and their scores, read as a unigram model.
+
+    Control, unknown, unused and byte pieces stand for no text of their own and match none.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    return Unigram([(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())])
+    special = (model.is_control, model.is_unknown, model.is_unused, model.is_byte)
+    normal = [i for i in range(model.get_piece_size()) if not any(kind(i) for kind in special)]
+    return Unigram([(model.id_to_piece(i), model.get_score(i)) for i in normal])
 
 
 def token_counts(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
