@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Consecutive lines that make a window.
 WINDOW = 3
 
@@ -48,12 +50,16 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     document and are all cut alike; a null id sorts first. An empty table gives an empty result. Other columns pass
     through; ``lines_removed`` replaces a column of that name.
 
-    Window hashes are merged within each task before they are dealt out, and the join back is one that adaptive
-    execution splits where a window is hot. Texts move once, to meet their covered lines.
+    Texts of any length are looked at whole. Window hashes are merged within each task before they are dealt out, and the
+    join back is one that adaptive execution splits where a window is hot. Texts move once, to meet their covered lines.
     """
-    docs = df.drop("lines_removed") if text_col != "lines_removed" else df
-    keyed = docs.withColumn("_k", F.xxhash64(F.col(id_col), F.col(text_col))).withColumn("_id", F.col(id_col))
-    windows = keyed.select("_id", "_k", F.inline(_windows(F.col(text_col)))).select(
+    own = [c for c in df.columns if c != "lines_removed" or c == text_col]
+    # The row is one value while it is joined, so names of its columns can't clash with those made here.
+    keyed = df.select(
+        F.struct(*[quoted(c) for c in own]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("_k"),
+    )
+    windows = keyed.select("_id", "_k", F.inline(_windows(F.col("_text")))).select(
         F.struct("_id", "_k", "at").alias("_place"), "lines", "h1", "h2"
     )
     repeated = (
@@ -70,17 +76,12 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .groupBy("_id", "_k").agg(F.collect_list("_line").alias("_cut"))
         .select(F.col("_id").alias("_cid"), F.col("_k").alias("_ck"), "_cut")
     )
-    joined = keyed.join(covered, (F.col("_k") == F.col("_ck")) & F.col("_id").eqNullSafe(F.col("_cid")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.transform(
-        F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_cut")), lambda i: F.get(F.col("_lines"), i)
-    )
-    text = F.when(F.col("_cut").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return (
-        joined.withColumn("_lines", lines)
-        .withColumn("_text", text)
-        .select(
-            *[F.col("_text").alias(c) if c == text_col else F.col(c) for c in docs.columns],
-            F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("lines_removed"),
-        )
+    joined = keyed.select("_row", "_id", "_k").join(covered, (F.col("_k") == F.col("_ck")) & F.col("_id").eqNullSafe(F.col("_cid")), "left")
+    lines = F.split(F.col("_row").getField(text_col), "\n", -1)
+    joined = joined.select("_row", "_cut", F.when(F.col("_cut").isNotNull(), lines).alias("_lines"))
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_cut")), lambda i: F.get(F.col("_lines"), i))
+    text = F.when(F.col("_cut").isNull(), F.col("_row").getField(text_col)).otherwise(F.array_join(kept, "\n"))
+    return joined.select(
+        *[(text if c == text_col else F.col("_row").getField(c)).alias(c) for c in own],
+        F.when(F.col("_cut").isNull(), 0).otherwise(F.size("_cut")).alias("lines_removed"),
     )

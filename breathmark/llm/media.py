@@ -33,31 +33,35 @@ def _chunk(kind: bytes, body: bytes) -> bytes:
     return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
 
 
-def encode_png(samples: np.ndarray, row_filter: int = 0, level: int = LEVEL) -> bytes:
-    """An 8-bit PNG of (height, width) or (height, width, channels) samples, every row under one filter type."""
+def encode_png(samples: np.ndarray, row_filter: int | None = None, level: int = LEVEL) -> bytes:
+    """An 8-bit PNG of (height, width) or (height, width, channels) samples.
+
+    Every row is under the filter type given, or each under that of none, left and up whose differences add up to least.
+    """
     pixels = samples.reshape(samples.shape[0], samples.shape[1], -1)
     height, width, channels = pixels.shape
     color = {1: 0, 3: 2, 2: 4, 4: 6}[channels]
     rows = np.ascontiguousarray(pixels, np.uint8).reshape(height, -1)
-    left = np.zeros_like(rows)
-    left[:, channels:] = rows[:, :-channels]
-    up = np.zeros_like(rows)
-    up[1:] = rows[:-1]
-    corner = np.zeros_like(rows)
-    corner[1:, channels:] = rows[:-1, :-channels]
-    if row_filter == 0:
-        guess = np.zeros_like(rows)
-    elif row_filter == 1:
-        guess = left
-    elif row_filter == 2:
-        guess = up
-    elif row_filter == 3:
-        guess = ((left.astype(np.uint16) + up) >> 1).astype(np.uint8)
-    else:
-        guess = _paeth(left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)).astype(np.uint8)
+
+    def filtered(kind: int) -> np.ndarray:
+        left, up, corner = np.zeros_like(rows), np.zeros_like(rows), np.zeros_like(rows)
+        left[:, channels:] = rows[:, :-channels]
+        up[1:] = rows[:-1]
+        corner[1:, channels:] = rows[:-1, :-channels]
+        if kind < 3:
+            return rows - (0, left, up)[kind]
+        if kind == 3:
+            return rows - ((left.astype(np.uint16) + up) >> 1).astype(np.uint8)
+        return rows - _paeth(left.astype(np.int16), up.astype(np.int16), corner.astype(np.int16)).astype(np.uint8)
+
     lines = np.empty((height, rows.shape[1] + 1), np.uint8)
-    lines[:, 0] = row_filter
-    lines[:, 1:] = rows - guess
+    if row_filter is None:
+        tried = [filtered(kind) for kind in range(3)]
+        sums = np.stack([abs(t.view(np.int8).astype(np.int16)).sum(axis=1, dtype=np.int64) for t in tried])
+        lines[:, 0] = sums.argmin(axis=0)
+        lines[:, 1:] = np.where(lines[:, :1] == 0, tried[0], np.where(lines[:, :1] == 1, tried[1], tried[2]))
+    else:
+        lines[:, 0], lines[:, 1:] = row_filter, filtered(row_filter)
     header = struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.data, level)) + _chunk(b"IEND", b"")
 
@@ -111,6 +115,16 @@ def _unfilter(kinds: np.ndarray, lines: np.ndarray, channels: int) -> np.ndarray
     if not kinds.any():
         return lines
     out = lines.copy()
+    if kinds.max() <= 2:  # no row needs another but through sums: along it, and down from the last row that isn't under up
+        left, up = kinds == 1, kinds == 2
+        pixels = out[left].reshape(int(left.sum()), -1, channels)
+        out[left] = np.cumsum(pixels, axis=1, dtype=np.uint8).reshape(len(pixels), -1)
+        if up.any():
+            down = np.cumsum(np.where(up[:, None], out, np.uint8(0)), axis=0, dtype=np.uint8)
+            last = np.maximum.accumulate(np.where(up, -1, np.arange(len(kinds))))
+            base = np.where(last[:, None] < 0, np.uint8(0), out[last] - down[last])
+            out[up] = (base + down)[up]
+        return out
     starts = np.flatnonzero(np.diff(kinds, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(kinds)], strict=True):
         kind, block = kinds[a], out[a:b]
@@ -173,7 +187,7 @@ def payload(text: str) -> tuple[bytes, int]:
 def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: the id, the ``media`` PNG as a binary column, and what is read back from it.
 
-    A text becomes the rows of a 64-sample wide grey picture. Columns: ``n_bytes``, ``payload_bytes``,
+    A text, however long, becomes the rows of a 64-sample wide grey picture, each under the PNG filter that suits it. Columns: ``n_bytes``, ``payload_bytes``,
     ``payload_sha256`` and ``tail_crc32`` of the bytes read back, ``media_bytes``, ``media_sha256``, ``media``,
     and ``feature``, the 64-bit cosine hash in binary. A null or empty text is one row of zeros. Rows are
     independent, so ties and repeated rows give repeated values, an empty table gives none, and a lost executor

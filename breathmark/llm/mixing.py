@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, text_or_empty
+from .common import WORD, durable, quoted, text_or_empty
 
 #: Blocks that each source is dealt into, a power of two.
 BLOCKS = 4096
@@ -298,7 +298,7 @@ def draw(
     over tasks of some ``task_words`` words and shuffled within each. Nulls, repeated rows, ties and empty tables as in mix_sources.
     """
     own = [c for c in df.columns if c != "shard"]
-    rows = df.select(F.struct(*[F.col(c) for c in own]).alias("_row"), *_slim(df, id_col, text_col, source_col, seed))
+    rows = df.select(F.struct(*[quoted(c) for c in own]).alias("_row"), *_slim(df, id_col, text_col, source_col, seed))
     plan, picks, words = _plan(durable(rows.drop("_row")), weights, limit, shards, seed)
     copies = _copied(rows, plan, picks).where("_copies > 0").select("_row", "_u", F.posexplode("_shards").alias("_epoch", "shard"))
     copies = copies.withColumn("_order", F.xxhash64(F.lit(seed), "_epoch", "_u"))

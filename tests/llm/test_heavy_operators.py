@@ -118,10 +118,11 @@ def test_components(spark):
 # media
 
 
-@pytest.mark.parametrize("row_filter", range(5))
+@pytest.mark.parametrize("row_filter", [None, *range(5)])
 @pytest.mark.parametrize("shape", [(1, 64), (7, 5), (9, 4, 3), (3, 6, 4), (5, 3, 2)])
 def test_png_round_trip(row_filter, shape):
-    samples = np.random.default_rng(row_filter).integers(0, 256, shape, np.uint8)
+    rng = np.random.default_rng(row_filter)
+    samples = rng.integers(0, 256, shape, np.uint8) if row_filter else rng.integers(0, 3, shape, np.uint8).cumsum(axis=0, dtype=np.uint8)
     back = media.decode_png(media.encode_png(samples, row_filter))
     assert (back.reshape(shape) == samples).all()
 
@@ -164,6 +165,8 @@ def test_media_columns(spark):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(padded), zlib.crc32(padded[-64:]))
         assert media.decode_png(bytes(r["media"])).tobytes() == padded and r["media_bytes"] == len(r["media"])
+    raw = zlib.decompress(bytes(rows[6]["media"])[41:-16])  # the one data chunk
+    assert {1, 2} & set(raw[::65])
     assert rows[0]["feature"] == rows[7]["feature"] and rows[0]["media_sha256"] == rows[7]["media_sha256"]
     assert media.media_columns(docs(spark, [])).count() == 0
 

@@ -90,6 +90,14 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup(docs(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_id", "_k", "_text", "_lines", "_cut", "_cid", "_row", "_n", "at", "a.b"]
+    df = spark.createDataFrame([(i, "x\ny\nz", *[f"{n}{i}" for n in names]) for i in range(2)], ["doc_id", "text", *names])
+    out = line_dedup(df)
+    assert out.columns == ["doc_id", "text", *names, "lines_removed"]
+    assert sorted(map(tuple, out.collect())) == [(0, "x\ny\nz", *[f"{n}0" for n in names], 0), (1, "", *[f"{n}1" for n in names], 3)]
+
+
 # mixing
 
 
