@@ -117,8 +117,9 @@ def _unfilter(kinds: np.ndarray, lines: np.ndarray, channels: int) -> np.ndarray
     out = lines.copy()
     if kinds.max() <= 2:  # no row needs another but through sums: along it, and down from the last row that isn't under up
         left, up = kinds == 1, kinds == 2
-        pixels = out[left].reshape(int(left.sum()), -1, channels)
-        out[left] = np.cumsum(pixels, axis=1, dtype=np.uint8).reshape(len(pixels), -1)
+        if left.any():
+            pixels = out[left].reshape(int(left.sum()), -1, channels)
+            out[left] = np.cumsum(pixels, axis=1, dtype=np.uint8).reshape(len(pixels), -1)
         if up.any():
             down = np.cumsum(np.where(up[:, None], out, np.uint8(0)), axis=0, dtype=np.uint8)
             last = np.maximum.accumulate(np.where(up, -1, np.arange(len(kinds))))
