@@ -43,9 +43,10 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``df`` with ``text_col`` cut down, and the number of lines ``lines_removed`` from it.
 
     A window is three consecutive lines of a text, blank lines passed over; windows are equal when their lines'
-    bytes are (by a 128-bit hash). Of equal windows the one first by (id, place) stays. The lines that later ones
-    cover go, except lines that the first occurrence of some repeated window covers too, so every repeated window
-    stays whole once. Blank lines always stay. Texts of fewer than three lines have no window and never change; a
+    bytes are (by a 128-bit hash). Of equal windows the one first by (id, place) is the first occurrence. All lines that
+    later ones cover go, but for lines that the same window's first occurrence shares with them; also where another window's
+    first occurrence covers them. Each such line has an equal one earlier, and the earliest of these is covered by no
+    later occurrence, so no line's content is lost. Blank lines always stay. Texts of fewer than three lines have no window and never change; a
     null text stays null; a text all of whose lines go becomes empty. Rows that repeat an id and its text are one
     document and are all cut alike; a null id sorts first. An empty table gives an empty result. Other columns pass
     through; ``lines_removed`` replaces a column of that name.
@@ -65,16 +66,13 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     repeated = (
         windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first")).where("_n > 1")
     )
-    found = windows.join(repeated, ["h1", "h2"]).select(
-        F.col("_place._id").alias("_id"),
-        F.col("_place._k").alias("_k"),
-        F.explode("lines").alias("_line"),
-        F.col("_place").eqNullSafe(F.col("_first")).alias("_stays"),
-    )
+    later = windows.join(repeated, ["h1", "h2"]).where(~F.col("_place").eqNullSafe(F.col("_first")))
+    one_text = F.col("_place._id").eqNullSafe(F.col("_first._id")) & (F.col("_place._k") == F.col("_first._k"))
+    shared = F.when(one_text, F.greatest(F.lit(0), F.col("_first.at") + WINDOW - F.col("_place.at"))).otherwise(0)  # lines of both
+    later = later.select("_place", F.slice("lines", shared + 1, WINDOW).alias("lines"))
     covered = (
-        found.groupBy("_id", "_k", "_line").agg(F.max("_stays").alias("_stays")).where("not _stays")
-        .groupBy("_id", "_k").agg(F.collect_list("_line").alias("_cut"))
-        .select(F.col("_id").alias("_cid"), F.col("_k").alias("_ck"), "_cut")
+        later.groupBy(F.col("_place._id").alias("_cid"), F.col("_place._k").alias("_ck"))
+        .agg(F.array_distinct(F.flatten(F.collect_set("lines"))).alias("_cut")).where(F.size("_cut") > 0)
     )
     joined = keyed.select("_row", "_id", "_k").join(covered, (F.col("_k") == F.col("_ck")) & F.col("_id").eqNullSafe(F.col("_cid")), "left")
     lines = F.split(F.col("_row").getField(text_col), "\n", -1)

@@ -109,11 +109,12 @@ windows AS (
   JOIN full_lines b ON b.doc_id = a.doc_id AND b.nr = a.nr + 1
   JOIN full_lines c ON c.doc_id = a.doc_id AND c.nr = a.nr + 2),
 ranked AS (
-  SELECT *, count(*) OVER (PARTITION BY key) AS n,
-         row_number() OVER (PARTITION BY key ORDER BY doc_id, nr) AS r FROM windows),
+  SELECT *, row_number() OVER same AS r, first_value(doc_id) OVER same AS first_doc, first_value(nr) OVER same AS first_nr
+  FROM windows WINDOW same AS (PARTITION BY key ORDER BY doc_id, nr)),
 covered AS (
-  SELECT doc_id, i FROM (SELECT doc_id, unnest(own) AS i, r FROM ranked WHERE n > 1)
-  GROUP BY doc_id, i HAVING min(r) > 1)
+  SELECT DISTINCT doc_id, i
+  FROM (SELECT *, unnest(own) AS i, nr + unnest([0, 1, 2]) AS at FROM ranked WHERE r > 1)
+  WHERE doc_id <> first_doc OR at >= first_nr + 3)
 SELECT l.doc_id, coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (WHERE c.i IS NULL), '') AS text,
        count(c.i) AS lines_removed
 FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.i = l.i

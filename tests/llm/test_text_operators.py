@@ -64,12 +64,7 @@ def cut(rows):
         own = full[i]
         for j in range(len(own) - 2):
             windows.setdefault(tuple(x for _, x in own[j : j + 3]), []).append((i, [k for k, _ in own[j : j + 3]]))
-    later, first = set(), set()
-    for places in windows.values():
-        if len(places) > 1:
-            first |= {(places[0][0], k) for k in places[0][1]}
-            later |= {(i, k) for i, ks in places[1:] for k in ks}
-    gone = later - first
+    gone = {(i, k) for (first, *later) in windows.values() for i, ks in later for k in ks if i != first[0] or k not in first[1]}
     return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in rows}
 
 
@@ -81,6 +76,13 @@ def test_line_dedup_by_brute_force(spark):
     assert got == cut(list(enumerate(texts)))
 
 
+def test_line_dedup_cuts_a_passage_whose_neighbours_repeat_too(spark):
+    passage = "p\nq\nr"
+    texts = [f"a\nb\n{passage}\nc", f"d\ne\n{passage}\nf\ng", f"d\ne\n{passage}\nf\ng", f"{passage}\nh"]
+    got = {r["doc_id"]: r["text"] for r in line_dedup(docs(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "d\ne\nf\ng", 2: "", 3: "h"}
+
+
 def test_line_dedup_odd_rows(spark):
     three = "a\nb\nc"
     rows = spark.createDataFrame([(1, three, 9), (1, three, 9), (2, three, 9), (None, three, 9)], DOCS + ", lines_removed int")
