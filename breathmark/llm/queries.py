@@ -113,8 +113,8 @@ ranked AS (
   FROM windows WINDOW same AS (PARTITION BY key ORDER BY doc_id, nr)),
 covered AS (
   SELECT DISTINCT doc_id, i
-  FROM (SELECT *, unnest(own) AS i, nr + unnest([0, 1, 2]) AS at FROM ranked WHERE r > 1)
-  WHERE doc_id <> first_doc OR at >= first_nr + 3)
+  FROM (SELECT *, unnest(own) AS i, nr + unnest([0, 1, 2]) AS own_nr FROM ranked WHERE r > 1)
+  WHERE doc_id <> first_doc OR own_nr >= first_nr + 3)
 SELECT l.doc_id, coalesce(string_agg(l.x, chr(10) ORDER BY l.i) FILTER (WHERE c.i IS NULL), '') AS text,
        count(c.i) AS lines_removed
 FROM lines l LEFT JOIN covered c ON c.doc_id = l.doc_id AND c.i = l.i
