@@ -23,7 +23,11 @@ CAPACITY = 4096
 #: The id that ends each document.
 END_ID = 1
 #: Words, and parts of words, whose ids a worker remembers before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
+#: Texts by which a tokenizer is tried: cases, contractions, digits, signs, letters beyond Latin-1, odd spaces.
+TRIED = (
+    "It's WE'LL I'd a1b23 x--y?! (don't) ÀÉß½²ªµ naïve", "a  b\tc\n\nd \x0b\x0c e", "ΑΣ Σ ό İI 梦🙂 ▁ \u00a0 \u0085", "'s'S 're 'x ''", " lead and trail ",
+)
 
 # The splitting pattern of the lower-casing word tokenizer (fixed value).
 PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -41,8 +45,8 @@ class WordIds:
 
     Exact where the normalizer and the splitter never look across ASCII white space and give nothing for it. Words
     of Latin-1 characters are lower-cased and split here and only their parts go to the tokenizer's model, since
-    most new words are known parts anew; all other words go through the whole tokenizer. Tests hold this against
-    the tokenizer on whole texts.
+    most new words are known parts anew; all other words go through the whole tokenizer. A tokenizer that splits in
+    another way is found out by TRIED texts, and then whole texts go through it.
     """
 
     def __init__(self, path: str):
@@ -54,6 +58,10 @@ class WordIds:
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.by_words = hasattr(self.model, "tokenize") and all(self._by_words(t) == self._whole(t) for t in TRIED)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
@@ -67,12 +75,15 @@ class WordIds:
     def _word(self, raw: bytes) -> bytes:
         word = raw.decode()
         if max(word) >= "\u0100" or any(t in word for t in self.special):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(word)
         lower = word.lower()
         return self._part(lower) if lower.isalpha() else b"".join(map(self._part, PARTS.findall(lower)))
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        return self._by_words(text) if self.by_words else self._whole(text)
+
+    def _by_words(self, text: str) -> bytes:
         known, out = self.words, []
         for raw in text.encode().split():
             found = known.get(raw)

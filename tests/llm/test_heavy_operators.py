@@ -1,5 +1,6 @@
 """SimHash, media, language identification, packing, pages and the pipeline: small cases and brute force."""
 
+import os
 import random
 import struct
 import zlib
@@ -245,6 +246,14 @@ def test_word_ids_are_the_tokenizers():
         assert np.frombuffer(own.ids(t), "<u4").tolist() == own.whole.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", sorted(n for n in os.listdir(os.path.dirname(WORDS)) if n.endswith(".json")))
+def test_ids_of_any_tokenizer(name):
+    own = packing.WordIds(public_tokenizers.path(name))
+    assert own.by_words or name != os.path.basename(WORDS)
+    for t in ("It's 12 Words\n and  more", "naïve ΑΣ 梦🙂", "", " "):
+        assert np.frombuffer(own.ids(t), "<u4").tolist() == own.whole.encode(t, add_special_tokens=False).ids
+
+
 def plain_best_fit(sizes, capacity):
     gaps = []
     for s in sorted(sizes, reverse=True):
