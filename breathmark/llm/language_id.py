@@ -16,8 +16,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 BUCKETS_LOG2, LONGEST = 17, 4
 #: Words of a line that make one chain; a longer line is cut into chains.
 CHAIN = 256
-#: Characters that are worked on at once.
-PART = 1 << 19
+#: Characters of texts that are worked on together, and of the longest text that is worked on in one piece.
+TOGETHER, PART = 1 << 17, 1 << 19
 #: Documents of each language that the model is fitted on at most, and their longest text.
 SAMPLE, SAMPLE_CHARS = 200, 100_000
 #: Times a word is seen in the sample, and the share of them in one language, from which it enters the lexicon.
@@ -165,7 +165,7 @@ class Model:
                 parts.append(part)
                 owners.append(i)
                 size += len(part)
-                if size >= PART:
+                if size >= TOGETHER:
                     self._add(parts, owners, sums, counts)
                     parts, owners, size = [], [], 0
         self._add(parts, owners, sums, counts)

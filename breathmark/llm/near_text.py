@@ -78,6 +78,14 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return often[order], counts[order]
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
 def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
@@ -207,7 +215,7 @@ def _sketched(pairs: DataFrame, slim: DataFrame) -> DataFrame:
     """Those of ``pairs`` that can be near by their whole sketches, made equally long by folding."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 500):
             kept = []
             for i, (n, m, x, y) in enumerate(zip(*(batch[c].to_pylist() for c in ("_n_a", "_n_b", "_fine_a", "_fine_b")), strict=True)):
                 x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -225,7 +233,7 @@ def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = durable(_sketched(durable(pairs), slim))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 100):
             found = [shingles(x.as_py()).view(np.int64) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["_node", "_set"])
 
@@ -300,7 +308,7 @@ def near_texts(df: DataFrame, text_col: str = "text", small: int = SMALL, tile:
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in _slices(batches, 500):
             rows = []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if node in seen:
