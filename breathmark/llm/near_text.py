@@ -86,7 +86,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
     pa.default_memory_pool().release_unused()
 
 
-def _bits(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _bits(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
 
 
@@ -106,9 +106,8 @@ class _Rows:
         return found[9 * differ <= both[found]]
 
 
-def _rows(table: pa.Table | pa.RecordBatch, mark: str = "") -> _Rows:
-    n, at, label = (table[f"_{c}{mark}"].to_numpy() for c in ("n", "at", "label"))
-    return _Rows(n, at, _bits(table[f"_coarse{mark}"]), label)
+def _rows(table: pa.Table) -> _Rows:
+    return _Rows(*(table[c].to_numpy() for c in ("_n", "_at")), _bits(table["_coarse"]), table["_label"].to_numpy())
 
 
 def _pairs(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
@@ -243,32 +242,38 @@ def _verified(pairs: DataFrame, slim: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _pivoted(large: DataFrame) -> DataFrame:
-    """Pairs of each text of a large block and one pivot, of the block's largest component, that can be near."""
-    one = F.struct(F.xxhash64("_node").alias("h"), F.col("_node").alias("_node_p"), *[F.col(c).alias(f"{c}_p") for c in ("_n", "_at", "_coarse", "_label")])
-    pivots = large.groupBy("_s", "_label").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("p"))
-    pivots = pivots.groupBy("_s").agg(F.max(F.struct("c", "p")).alias("top")).select(F.col("_s").alias("_ps"), "top.p.*").drop("h")
+    """Pairs of each text of a large block and one pivot of the block's largest component that can be near by sizes and places.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            every = np.arange(batch.num_rows)
-            k = _rows(batch).near(every, _rows(batch, "_p"), every)
-            yield _pairs(batch["_node"].to_numpy()[k], batch["_node_p"].to_numpy()[k])
-
-    return large.join(pivots, (F.col("_s") == F.col("_ps")) & (F.col("_label") != F.col("_label_p"))).mapInArrow(check, "a long, b long")
+    The pivot has the fewest rare shingles before the shared one: of a group of near copies, the one in their midst.
+    """
+    one = F.struct("_at", F.xxhash64("_node").alias("h"), F.col("_node").alias("_node_p"), F.col("_n").alias("_n_p"), F.col("_label").alias("_label_p"))
+    pivots = large.groupBy("_s", "_label").agg(F.count(F.lit(1)).alias("c"), F.min(one).alias("p"))
+    pivots = pivots.groupBy("_s").agg(F.max(F.struct("c", "p")).alias("top")).select(
+        F.col("_s").alias("_ps"), "top.p._node_p", "top.p._n_p", "top.p._label_p", F.col("top.p._at").alias("_at_p")
+    )
+    fits = 9 * F.least(F.col("_n") - F.col("_at"), F.col("_n_p") - F.col("_at_p")) >= 4 * (F.col("_n") + F.col("_n_p"))
+    met = large.join(pivots, (F.col("_s") == F.col("_ps")) & (F.col("_label") != F.col("_label_p")) & fits)
+    return met.select(F.least("_node", "_node_p").alias("a"), F.greatest("_node", "_node_p").alias("b"))
 
 
-def _tiled(large: DataFrame, tile: int) -> DataFrame:
+def _tiled(large: DataFrame, coarse: DataFrame, tile: int) -> DataFrame:
     """All pairs of a large block of different components that can be near, in tiles of some ``tile`` rows.
 
     Rows of the largest component are not compared with each other: every other row meets every row of the block once.
     """
+    # A row that not even the block's shortest text and least place would let pass has no partner in the block.
+    room = F.col("_n") - F.col("_at")
+    ends = large.groupBy("_s").agg(F.min("_n").alias("_least"), F.max(room).alias("_most")).withColumnRenamed("_s", "_es")
+    fits = 9 * F.least(room, F.col("_most")) >= 4 * (F.col("_n") + F.greatest(F.col("_least"), F.ceil(F.col("_n") * 4 / 5)))
+    large = durable(large.join(ends, F.col("_s") == F.col("_es")).where(fits).drop("_es", "_least", "_most"))
     counts = large.groupBy("_s", "_label").agg(F.count(F.lit(1)).alias("c"))
     tops = counts.groupBy("_s").agg(F.sum("c").alias("all"), F.max(F.struct("c", "_label")).alias("top"), F.count(F.lit(1)).alias("labels"))
     parts = lambda rows: F.ceil(rows / F.lit(tile)).cast("int")
     plan = tops.where("labels > 1").select(
         F.col("_s").alias("_ps"), F.col("top._label").alias("_top"), parts(F.col("all")).alias("_chunks"), parts(F.col("all") - F.col("top.c")).alias("_groups")
     )
-    rows = large.join(plan, F.col("_s") == F.col("_ps"))
+    rows = durable(large.join(plan, F.col("_s") == F.col("_ps")).drop("_ps"))
+    rows = rows.join(coarse, F.col("_node") == F.col("_k"))
     own = ["_s", "_node", "_n", "_at", "_coarse", "_label"]
 
     def part(of: str, seed: int) -> Column:
@@ -337,21 +342,27 @@ def near_texts(df: DataFrame, text_col: str = "text", small: int = SMALL, tile:
     dealt = by_task.select("_node", "_rare", F.posexplode("_prefix").alias("_at", "_s"))
     met = durable(_meeting(dealt.select("_s", "_node", "_at", (F.col("_at") >= F.col("_rare")).alias("_often")), small))
 
-    def labeled(rows: DataFrame, component: DataFrame) -> DataFrame:
-        known = slim.select("_node", "_n", "_coarse").join(component, F.col("_node") == F.col("node"), "left")
-        known = known.select(F.col("_node").alias("_k"), "_n", "_coarse", F.coalesce("component", "_node").alias("_label"))
-        return rows.join(known, F.col("_node") == F.col("_k")).select("_s", "_node", "_at", "_n", "_coarse", "_label")
+    coarse = slim.select(F.col("_node").alias("_k"), "_coarse")
+    sizes = slim.select("_node", "_n")
+
+    def labels(component: DataFrame) -> DataFrame:
+        known = sizes.join(component, F.col("_node") == F.col("node"), "left")
+        return durable(known.select(F.col("_node").alias("_l"), "_n", F.coalesce("component", "_node").alias("_label")))
+
+    def labeled(rows: DataFrame, label: DataFrame) -> DataFrame:
+        return rows.join(label, F.col("_node") == F.col("_l")).select("_s", "_node", "_at", "_n", "_label")
 
-    blocks = labeled(met.where("not _large"), component).repartition("_s").sortWithinPartitions("_s")
-    pairs = blocks.mapInArrow(whole_groups(["_s"], _small_blocks), "a long, b long")
+    label = labels(component)
+    blocks = labeled(met.where("not _large"), label).join(coarse, F.col("_node") == F.col("_k")).drop("_k")
+    pairs = blocks.repartition("_s").sortWithinPartitions("_s").mapInArrow(whole_groups(["_s"], _small_blocks), "a long, b long")
     large = met.where("_large")
     any_large = not large.isEmpty()
     if any_large:
-        pairs = pairs.union(_pivoted(labeled(large, component)))
+        pairs = pairs.union(_pivoted(durable(labeled(large, label))))
 
     def joined(pairs: DataFrame) -> DataFrame:
         new = _verified(pairs.distinct(), slim, texts)
         return durable(connected_components(component.select(F.col("node").alias("a"), F.col("component").alias("b")).union(new)))
 
     component = joined(pairs)
-    return joined(_tiled(labeled(large, component), tile)) if any_large else component
+    return joined(_tiled(labeled(large, labels(component)), coarse, tile)) if any_large else component
