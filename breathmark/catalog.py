@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,10 +13,12 @@ from breathmark.config import EVENTS_PROFILE as C
 from breathmark.functions.normalize import normalize
 from breathmark.operators import grid, intervals, signal
 from breathmark.oracles import ORACLES, SAMPLE_TYPES
-from breathmark.plans import detectors, pipeline
+from breathmark.plans import detectors, figures, pipeline
 from breathmark.plans.detectors import Recordings
 from breathmark.schema import REC, label_dictionary
 from breathmark.sources.adapter import signals_from_events
+from breathmark.sources.recordings import read_recordings, read_results, write_recordings, write_results
+from breathmark.sources.storage import shared_folder
 
 KEY = signal.KEY
 BELT = grid.BELT
@@ -64,7 +68,38 @@ def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize(spark.createDataFrame([(t,) for t in SAMPLE_TYPES], "type string")).select("raw_type", "type", "desat", "depth")
 
 
+def _prctile(r: Recordings) -> DataFrame:
+    low = replace(C, resp=replace(C.resp, trough_method="prctile", trough_prct=25.0))
+    return signal.breath_table(r.signals, low).where("trough_k is not null").select(*KEY, "breath_no", "trough_k", *r6("trough_val"))
+
+
+def _files(layout: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Recordings written as text files to the shared folder and read again."""
+
+    def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = f"{shared_folder(spark)}/recordings-{uuid4().hex}"
+        write_recordings(signals_from_events(spark, sf_dir), folder, layout)
+        return read_recordings(spark, f"{folder}/*", layout).select(*REC, "k", "spo2", "resp_l", "resp_d")
+
+    return scan
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results written by recording and read again."""
+    folder = f"{shared_folder(spark)}/results-{uuid4().hex}"
+    write_results(folder, {"events": Recordings(signals_from_events(spark, sf_dir), C).desat}, C)
+    return read_results(spark, folder, "events").select(intervals.EVENT)
+
+
 QUERIES = {
+    "scan_wide_files": _files("wide"),
+    "scan_channel_major_files": _files("channel_major"),
+    "stored_events": _stored,
+    "trough_prctile": _on(_prctile),
+    "figure_traces": _on(lambda r: figures.traces(r.signals, C, 1, 10)),
+    "figure_limits": _on(lambda r: figures.limits(r.signals).select(*REC, "channel", *r6("mean", "std", "least", "greatest"))),
+    "figure_event_spans": _on(lambda r: figures.event_spans(r.desat, 100, 1000)),
+    "figure_mask_spans": _on_breaths(lambda r: figures.mask_spans(detectors.shallow_cond(r), C)),
     "scan_signals": _on(lambda r: r.signals.select(*REC, "k", "spo2", "resp_l", "resp_d")),
     "head_segment": _on(lambda r: signal.head_segment(r.signals, C).select(*REC, "k", "spo2")),
     "grid_points": _on(lambda r: grid.grid_points(r.lengths, 60)),

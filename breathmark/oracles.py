@@ -69,6 +69,21 @@ PARTS = {
             FROM steps_of p LEFT JOIN smooth s ON s.subject = p.subject AND s.condition = p.condition AND s.segment = p.segment
               AND s.belt = p.belt AND s.k BETWEEN p.k AND p.next_k
             GROUP BY ALL)""",
+    "low_parts": f"""
+      SELECT p.subject, p.condition, p.segment, p.belt, p.breath_no, list_sort(list(s.x0) FILTER (WHERE s.x0 IS NOT NULL)) AS xs,
+             least(greatest(0.25::DOUBLE * count(s.x0) + 0.5, 1.0::DOUBLE), count(s.x0)::DOUBLE) AS place, list({{'x': s.x0, 'k': s.k}}) AS own
+      FROM steps_of p JOIN smooth s ON s.subject = p.subject AND s.condition = p.condition AND s.segment = p.segment
+        AND s.belt = p.belt AND s.k BETWEEN p.k AND p.next_k
+      GROUP BY ALL""",
+    "low_values": f"""
+      SELECT {KEY}, breath_no, own, xs[floor(place)::BIGINT] + (xs[ceil(place)::BIGINT] - xs[floor(place)::BIGINT]) * (place - floor(place)) AS p FROM low_parts""",
+    "low_ends": f"""
+      SELECT {KEY}, breath_no, min({{'d': abs(o.x - p), 'k': o.k, 'x': o.x}}) AS low
+      FROM (SELECT {KEY}, breath_no, p, unnest(own) AS o FROM low_values) WHERE o.x IS NOT NULL GROUP BY ALL""",
+    "channels": """
+      SELECT subject, condition, k, 'spo2' AS channel, spo2 AS value FROM signals WHERE spo2 IS NOT NULL
+      UNION ALL SELECT subject, condition, k, 'resp_l', resp_l FROM signals WHERE resp_l IS NOT NULL
+      UNION ALL SELECT subject, condition, k, 'resp_d', resp_d FROM signals WHERE resp_d IS NOT NULL""",
     "base": """
       SELECT h.subject, h.condition, h.spo2_median, h.spo2_mean, lungs_amp_ref, lungs_rr_ref, diap_amp_ref, diap_rr_ref
       FROM (SELECT subject, condition, median(spo2) AS spo2_median, avg(spo2) AS spo2_mean FROM signals WHERE k < 60 GROUP BY ALL) h
@@ -240,6 +255,18 @@ SAMPLE_TYPES = [
 _TYPES = ", ".join(f"('{t}')" for t in SAMPLE_TYPES)
 
 ORACLES = {
+    "scan_wide_files": query("SELECT subject, condition, k, spo2, resp_l, resp_d FROM signals"),
+    "scan_channel_major_files": query("SELECT subject, condition, k, spo2, resp_l, resp_d FROM signals"),
+    "stored_events": query(f"SELECT {EV} FROM desat"),
+    "trough_prctile": query(f"SELECT {KEY}, breath_no, low.k AS trough_k, round(low.x, 6) AS trough_val FROM low_ends"),
+    "figure_traces": query("SELECT subject, condition, k::DOUBLE AS t, channel, value FROM channels WHERE k BETWEEN 1 AND 10"),
+    "figure_limits": query("""SELECT subject, condition, channel, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+        round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM channels GROUP BY ALL"""),
+    "figure_event_spans": query("""SELECT subject, condition, type, greatest(start_t, 100.0::DOUBLE) AS "left", least(end_t, 1000.0::DOUBLE) AS "right"
+        FROM desat WHERE end_t >= 100 AND start_t <= 1000"""),
+    "figure_mask_spans": query("""SELECT subject, condition, min(g)::DOUBLE AS "left", max(g)::DOUBLE AS "right"
+        FROM (SELECT *, g - row_number() OVER (PARTITION BY subject, condition ORDER BY g) AS i FROM shallow_pts WHERE flag)
+        GROUP BY subject, condition, i"""),
     "scan_signals": query("SELECT subject, condition, k, spo2, resp_l, resp_d FROM signals"),
     "head_segment": query("SELECT subject, condition, k, spo2 FROM signals WHERE k < 60"),
     "grid_points": query("SELECT subject, condition, unnest(range((n - 1) // 60 + 1)) AS g FROM lens"),

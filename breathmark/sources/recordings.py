@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from breathmark.config import Config
 from breathmark.schema import CHANNELS, REC
 
-#: File names carry the recording's key.
-NAME = r"Sub(\d+)_Pom(\d+)"
+#: Names of files, or of the folders that they lie in, carry the recording's key; the last one counts.
+NAME = r".*Sub(\d+)_Pom(\d+)"
 
 
-def file_name(subject: int, condition: int) -> str:
+def file_name(subject: int | str, condition: int | str) -> str:
     return f"ECG1_ECG2_SpO2_RespL_BP_RespD_fs200_Sub{subject}_Pom{condition}_DeTr_Norm.dat"
 
 
@@ -34,13 +34,17 @@ def read_recordings(spark: SparkSession, paths: str | list[str], layout: str = "
 
     ``layout``: ``wide`` has a row of six numbers for each sample, ``channel_major`` all samples of the first channel,
     then of the second, and so on. Fields are parted by white space or commas; what isn't a number is null. A file
-    whose numbers don't fill six channels fails. Order within a file is the order of its lines.
+    whose numbers don't fill six channels fails. Order within a file is the order of its lines. Two files of one
+    subject and condition are an error, since nothing says which goes first.
     """
     if layout not in ("wide", "channel_major"):
         raise ValueError(f"unknown layout {layout!r}")
+    named = spark.read.format("binaryFile").load(paths).select("path", *_key("path"))
+    twice = named.groupBy(*REC).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n > 1").first()
+    if twice:
+        raise ValueError(f"{twice['n']} files of subject {twice['subject']}, condition {twice['condition']}, one of them {twice['path']}")
     files = spark.read.text(paths, wholetext=True).select(
-        F.regexp_extract(F.col("_metadata.file_name"), NAME, 1).cast("int").alias("subject"),
-        F.regexp_extract(F.col("_metadata.file_name"), NAME, 2).cast("int").alias("condition"),
+        *_key("_metadata.file_path"),
         F.col("value"),
     )
     width = len(CHANNELS)
@@ -59,6 +63,24 @@ def read_recordings(spark: SparkSession, paths: str | list[str], layout: str = "
     )
 
 
+def _key(path: str) -> list[Column]:
+    return [F.regexp_extract(F.col(path), NAME, i + 1).cast("int").alias(c) for i, c in enumerate(REC)]
+
+
+def write_recordings(signals: DataFrame, folder: str, layout: str = "wide") -> None:
+    """One text file for each recording, in a folder named as the recording, as read_recordings reads it; nulls become NaN."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in CHANNELS]
+    rows = with_channels(signals).select(*REC, "k", *[v.alias(c) for v, c in zip(values, CHANNELS, strict=True)])
+    name = F.format_string(file_name("%d", "%d").replace(".dat", ""), *REC).alias("name")
+    if layout == "wide":
+        lines = rows.select(name, F.col("k").alias("at"), F.concat_ws(" ", *CHANNELS).alias("line"))
+    else:  # all of one channel, then of the next
+        spread = F.array(*[F.struct(F.lit(i).alias("channel"), F.col(c).alias("line")) for i, c in enumerate(CHANNELS)])
+        lines = rows.select(name, "k", F.inline(spread)).select("name", F.struct("channel", "k").alias("at"), "line")
+    lines = lines.repartition("name").sortWithinPartitions("name", "at")
+    lines.select("name", "line").write.partitionBy("name").text(folder)
+
+
 def with_channels(signals: DataFrame) -> DataFrame:
     """Adds the channels that a table lacks as nulls."""
     return signals.select(*REC, "k", *[clean(F.col(c)).alias(c) if c in signals.columns else F.lit(None).cast("double").alias(c) for c in CHANNELS])

@@ -5,16 +5,21 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written to the session's ``spark.checkpoint.dir``, with the lineage cut.
-
-    Only where that setting is missing (tests, a laptop) is a temporary folder used.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``. Where it is unset, a temporary folder is made in local mode only."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "breathmark-checkpoints"))
+    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of ``df``, written to the shared folder, with the lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -6,9 +6,11 @@ from dataclasses import replace
 import pytest
 
 from breathmark.config import Breathing, Config
-from breathmark.plans import pipeline
+from breathmark.plans import figures, pipeline
 from breathmark.plans.detectors import DETECTORS, Recordings
+from breathmark.schema import EVENTS, SIGNALS
 from breathmark.sources import recordings
+from breathmark.sources.recordings import read_recordings, write_recordings
 
 FS = 4
 CONFIG = Config(fs=FS, resp=Breathing(min_peak_dist_sec=0.8, min_peak_prom=0.2, smooth_sec=0.25))
@@ -125,3 +127,22 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_files_round_trip_and_one_file_a_recording(spark, tmp_path):
+    rows = [(s, 1, k, float(k) / 3, None, float("nan"), -1e-7 * k, None, 5.0) for s in (1, 22) for k in range(7)]
+    signals = spark.createDataFrame(rows, SIGNALS)
+    for layout in ("wide", "channel_major"):
+        write_recordings(signals, f"{tmp_path}/{layout}", layout)
+        got = read_recordings(spark, f"{tmp_path}/{layout}/*", layout)
+        want = [(*r[:4], None, None, r[6], None, 5.0) for r in rows]
+        assert sorted(map(tuple, got.collect())) == want
+    write_recordings(signals.where("subject = 1"), f"{tmp_path}/again")
+    with pytest.raises(ValueError, match="2 files of subject 1"):
+        read_recordings(spark, [f"{tmp_path}/wide/*", f"{tmp_path}/again/*"])
+
+
+def test_spans_are_clipped_to_the_viewport(spark):
+    events = spark.createDataFrame([(1, 1, "a", 1, 5, 0.0, 4.0), (1, 1, "a", 9, 12, 8.0, 11.0), (1, 1, "a", 20, 21, 19.0, 20.0)], EVENTS)
+    got = sorted(tuple(r)[3:] for r in figures.event_spans(events, 2, 10).collect())
+    assert got == [(2.0, 4.0), (8.0, 10.0)]
