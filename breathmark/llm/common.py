@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 from collections.abc import Callable, Iterator
@@ -45,6 +46,14 @@ def text_or_empty(col: str) -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 
 
+def give_back() -> None:
+    """Returns freed memory of this worker, which stays for later tasks, to the system where its C library can do so."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def whole_groups(columns: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable:
     """For mapInArrow: hands rows that come sorted by ``columns`` (numbers) to ``work`` so that rows of one group are never apart."""
 
@@ -67,6 +76,7 @@ def whole_groups(columns: list[str], work: Callable[[pa.Table], Iterator[pa.Reco
             held.append(batch)
         if held:
             yield from work(pa.Table.from_batches(held))
+        give_back()
 
     return run
 

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from .common import give_back
+
 #: Buckets of hashed n-gram features, a power of two, and the longest n-gram.
 BUCKETS_LOG2, LONGEST = 17, 4
 #: Words of a line that make one chain; a longer line is cut into chains.
@@ -302,5 +304,6 @@ def identify_languages(
                 found = [crf.languages[k] if n else UNDETERMINED for k, n in zip(best.tolist(), counts.tolist(), strict=True)]
                 score = np.clip(sums[np.arange(len(texts)), best] / np.maximum(counts, 1), 0, 1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], columns)
+        give_back()
 
     return rest.mapInArrow(label, schema)

@@ -290,7 +290,7 @@ def draw(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    task_words: int = 20_000_000,
+    task_words: int = 1_000_000,
 ) -> DataFrame:
     """The mix itself: one row of ``df`` per copy that mix_sources takes, with its ``shard`` (a column of that name is replaced).
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, starts_of, text_or_empty, whole_groups
+from .common import durable, give_back, starts_of, text_or_empty, whole_groups
 from .components import connected_components
 from .simhash import fingerprint, links
 
@@ -83,7 +83,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordB
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _bits(column: pa.ChunkedArray) -> np.ndarray:
