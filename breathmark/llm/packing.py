@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, text_or_empty
+from .common import durable, give_back, text_or_empty
 
 CAPACITY = 4096
 #: The id that ends each document.
@@ -79,6 +79,12 @@ class WordIds:
         lower = word.lower()
         return self._part(lower) if lower.isalpha() else b"".join(map(self._part, PARTS.findall(lower)))
 
+    def forget(self) -> None:
+        """Drops what is remembered: a worker that stays for other operators' tasks holds the tokenizer only."""
+        self.words.clear()
+        self.parts.clear()
+        give_back()
+
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         return self._by_words(text) if self.by_words else self._whole(text)
@@ -193,6 +199,7 @@ def pack_documents(
             columns = np.array(out, np.int64).reshape(-1, len(parts)).T
             owners = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([owners, *(pa.array(np.ascontiguousarray(c)) for c in columns)], [id_col, *parts])
+        words.forget()
 
     schema = f"`{id_col}` {kind}, " + ", ".join(f"{c} long" for c in parts)
     pieces = durable(df.select(F.col(id_col), text_or_empty(text_col)).mapInArrow(cut, schema))
