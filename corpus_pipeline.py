@@ -20,6 +20,17 @@ from breathmark.llm.queries import tokenizer
 LEAST_SCORE = 0.4
 WEIGHTS, LIMIT, SEED = (1, 2, 3), 3, 7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Rows and bytes of a batch that goes to a Python worker: it is held there and, both ways, beside the heap of its executor.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bounds of Arrow batches to BATCH_ROWS and BATCH_BYTES; lower ones stay. No result depends on them."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(rows, BATCH_ROWS) if rows > 0 else BATCH_ROWS)
+    size = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    if not size.rstrip("bB").isdigit() or int(size.rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,6 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go. The model is fitted on rows with a language; without any, all rows go. Very long texts are judged whole. Each row is judged
     by its text alone, so rows that repeat a text go or stay together. An empty table gives an empty result.
     """
+    small_batches(spark)
     model = fit_on(docs, ~held_out("doc_id"), "doc_id", "text", "lang")
     found = identify_languages(docs.select(COLUMNS), model, names=("lang_pred", "lang_score"))
     return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)).select(COLUMNS)
@@ -50,6 +62,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A null text counts as empty, and texts without words are one group. Of rows that repeat an id and its text one stays; null ids come last.
     Texts of any length are compared whole. An empty table gives an empty result.
     """
+    small_batches(spark)
     docs = docs.select(COLUMNS)
     near = near_texts(docs)
     docs = keyed(docs)
@@ -76,6 +89,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null or empty text is its end alone. Every row is packed, also one that repeats another; longer ones than a sequence are cut. An empty table gives an
     empty result.
     """
+    small_batches(spark)
     return pack_documents(docs, tokenizer("word_bpe_49k.json"))
 
 
