@@ -49,7 +49,8 @@ class WordIds:
     another way is found out by TRIED texts, and then whole texts go through it.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -66,7 +67,7 @@ class WordIds:
     def _part(self, part: str) -> bytes:
         found = self.parts.get(part)
         if found is None:
-            if len(self.parts) >= REMEMBERED:
+            if len(self.parts) >= self.remembered:
                 self.parts.clear()
             shown = part.encode().decode("latin-1").translate(self.bytes)
             found = self.parts[part] = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.model.tokenize(shown)]) else b""
@@ -94,7 +95,7 @@ class WordIds:
         for raw in text.encode().split():
             found = known.get(raw)
             if found is None:
-                if len(known) >= REMEMBERED:
+                if len(known) >= self.remembered:
                     known.clear()
                 found = self._word(raw)
                 if len(raw) <= 64:
@@ -104,8 +105,8 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> WordIds:
-    return WordIds(path)
+def load(path: str, remembered: int = REMEMBERED) -> WordIds:
+    return WordIds(path, remembered)
 
 
 def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -166,8 +167,9 @@ def pack_plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack_documents(
-    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID
-) -> DataFrame:
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID,
+    remembered: int = REMEMBERED,
+) -> DataFrame:
     """One row per piece: id, ``piece``, ``start``, ``length``, ``ids_crc32``, ``sequence_id``, ``offset``.
 
     A document is its token ids, then ``end_id``; a null or empty text is ``end_id`` alone. Documents longer than
@@ -175,6 +177,9 @@ def pack_documents(
     side from offset 0. Rows that repeat an id are packed each. An empty table gives an empty result. Other columns
     of ``df`` are not read.
 
+    A task remembers the ids of ``remembered`` words, and of as many parts of words, before it starts anew: memory
+    against time, results don't depend on it.
+
     Tokenizing runs once and its pieces are kept (40 bytes each). Each task numbers its own pieces by length, and
     prefix sums over tasks make those numbers ranks within the length, so no length, however common, meets in one
     task. Only the histogram of lengths, ``capacity`` rows at most, goes to the driver, and only the plan made of it
@@ -184,7 +189,7 @@ def pack_documents(
     parts = ["piece", "start", "length", "ids_crc32", "task", "nth"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, task = load(path), Counter(), TaskContext.get().partitionId()
+        words, seen, task = load(path, remembered), Counter(), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             rows, out = [], []
