@@ -22,6 +22,8 @@ WEIGHTS, LIMIT, SEED = (1, 2, 3), 3, 7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows and bytes of a batch that goes to a Python worker: it is held there and, both ways, beside the heap of its executor.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+#: Words whose ids a packing task remembers: fewer than alone, since executors still hold what earlier stages left.
+REMEMBERED = 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -90,7 +92,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     empty result.
     """
     small_batches(spark)
-    return pack_documents(docs, tokenizer("word_bpe_49k.json"))
+    return pack_documents(docs, tokenizer("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
