@@ -12,16 +12,20 @@ from pyspark.sql import functions as F
 from breathmark.config import EVENTS_PROFILE as C
 from breathmark.functions.normalize import normalize
 from breathmark.operators import grid, intervals, signal
+from breathmark.operators.asof import asof_join
+from breathmark.operators.stretches import medians
 from breathmark.oracles import ORACLES, SAMPLE_TYPES
 from breathmark.plans import detectors, figures, pipeline
 from breathmark.plans.detectors import Recordings
-from breathmark.schema import REC, label_dictionary
+from breathmark.schema import REC
 from breathmark.sources.adapter import signals_from_events
-from breathmark.sources.recordings import read_recordings, read_results, write_recordings, write_results
-from breathmark.sources.storage import shared_folder
+from breathmark.sources.recordings import file_name, read_recordings, read_results, write_recordings, write_results
+from breathmark.sources.storage import durable, remove, shared_folder
 
 KEY = signal.KEY
 BELT = grid.BELT
+#: Bytes of a split where a scan of files in splits is shown.
+SPLIT = 16 << 10
 
 
 def r6(*names: str) -> list:
@@ -65,7 +69,10 @@ def _intersect(r: Recordings) -> DataFrame:
 
 
 def _types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize(spark.createDataFrame([(t,) for t in SAMPLE_TYPES], "type string")).select("raw_type", "type", "desat", "depth")
+    """Every event under one of the raw types, counted by the labels that these stand for."""
+    raw = F.element_at(F.array(*map(F.lit, SAMPLE_TYPES)), (F.col("event_id") % len(SAMPLE_TYPES) + 1).cast("int"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", raw.alias("type"))
+    return normalize(events).groupBy("event_type", "raw_type", "type", "desat", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _prctile(r: Recordings) -> DataFrame:
@@ -84,6 +91,26 @@ def _files(layout: str) -> Callable[[SparkSession, str], DataFrame]:
     return scan
 
 
+def _split_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings written as text files and read again in splits of SPLIT bytes, so that each is many splits. The bound holds for this scan only."""
+    folder, name = f"{shared_folder(spark)}/recordings-{uuid4().hex}", "spark.sql.files.maxPartitionBytes"
+    write_recordings(signals_from_events(spark, sf_dir), folder)
+    before = spark.conf.get(name)
+    spark.conf.set(name, SPLIT)
+    try:
+        return durable(read_recordings(spark, f"{folder}/*").select(*REC, "k", "spo2", "resp_l", "resp_d"))
+    finally:
+        spark.conf.set(name, before)
+        remove(spark, folder)
+
+
+def _last_breath(r: Recordings) -> DataFrame:
+    """Each belt's last breath at or before each grid point, and how long ago it was."""
+    points = grid.grid_points(r.lengths, C.grid_rows).join(r.breaths.select(*BELT).distinct(), REC).withColumn("at", F.col("g") * C.grid_rows)
+    found = asof_join(points, r.breaths.select(*BELT, "peak_k", "amp"), BELT, "at", "peak_k")
+    return found.select(*BELT, "g", "peak_k", *r6("amp"), (F.col("at") - F.col("peak_k")).alias("since"))
+
+
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written by recording and read again."""
     folder = f"{shared_folder(spark)}/results-{uuid4().hex}"
@@ -103,11 +130,18 @@ QUERIES = {
     "scan_signals": _on(lambda r: r.signals.select(*REC, "k", "spo2", "resp_l", "resp_d")),
     "head_segment": _on(lambda r: signal.head_segment(r.signals, C).select(*REC, "k", "spo2")),
     "grid_points": _on(lambda r: grid.grid_points(r.lengths, 60)),
-    "label_dictionary": lambda spark, sf_dir: label_dictionary(spark),
+    "label_dictionary": _on_shared(lambda r: pipeline.label_counts(pipeline.pipeline_events(r), r.lengths)),
+    "scan_split_files": _split_files,
+    "recording_files": _on(lambda r: r.lengths.select(*REC, "n", F.format_string(file_name("%d", "%d"), *REC).alias("file"))),
+    "config_rows": _on(lambda r: pipeline.row_counts(r.lengths, C)),
+    "spo2_units": _on(lambda r: signal.oxygen_units(signal.spo2_baseline(r.signals, C)).select(*REC, *r6("spo2_median"), "plausible")),
+    "belt_medians": _on(lambda r: medians(signal.belt_samples(r.signals, C), KEY, "x")),
+    "sliding_median": _on(lambda r: grid.trailing_median(r.signals.select(*REC, "k", "spo2"), REC, "k", "spo2", 60).select(*REC, "k", *r6("median"))),
+    "asof_breath": _on_breaths(_last_breath),
     "baseline_spo2": _on(lambda r: signal.spo2_baseline(r.signals, C).select(*REC, *r6("spo2_median", "spo2_mean"))),
     "detrend": _on(lambda r: signal.detrend(signal.belt_samples(r.signals, C))),
     "moving_mean": _on(lambda r: _smooth(r).select(*KEY, "k", *r6("x0"))),
-    "local_maxima": _on(lambda r: signal.local_maxima(_smooth(r)).where("is_cand").select(*KEY, "k", F.round("x0", 6).alias("h"))),
+    "local_maxima": _on(lambda r: signal.local_maxima(_smooth(r)).select(*KEY, "k", F.round("x0", 6).alias("h"))),
     "peak_prominence": _on(lambda r: _proms(r).select(*KEY, "k", *r6("h", "prominence"))),
     "peak_distance_nms": _on(
         lambda r: signal.pick_peaks(signal.candidates(_smooth(r)), C.resp.min_peak_prom, C.peak_dist_rows).select(*KEY, "k")
@@ -153,7 +187,8 @@ QUERIES = {
     "sigh_intervals": _on_breaths(lambda r: detectors.sigh_intervals(r).select(*intervals.EVENT, "belt")),
     "sigh_frequency": _on_shared(detectors.sigh_frequency),
     "normalize_types": _types,
-    **{f"detect_{label.lower()}": (_on if label in ("ReA", "Des") else _on_shared)(detect) for label, detect in detectors.DETECTORS.items()},
+    **{f"detect_{label.lower()}": (_on if label == "Des" else _on_shared)(detect) for label, detect in detectors.DETECTORS.items() if label != "ReA"},
+    "detect_rea": _on(lambda r: pipeline.recording_counts(detectors.detect_asynchrony(r), r.lengths)),
     "pipeline_events": _on_shared(pipeline.pipeline_events),
     "event_sample_mask": _on(lambda r: intervals.event_sample_mask(r.desat, r.signals, C)),
     "sample_mask": _on_shared(lambda r: intervals.sample_mask(r.signals, pipeline.pipeline_events(r))),

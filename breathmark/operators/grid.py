@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from breathmark.config import Config, Rate, Shallow
+from breathmark.operators import stretches
 from breathmark.schema import BELTS, REC
 
 BELT = [*REC, "belt"]
@@ -13,6 +19,73 @@ BELT = [*REC, "belt"]
 STRETCH = 64
 
 
+def _by_stretch(rows: DataFrame) -> DataFrame:
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *BELT, "stretch")
+
+
+class SlidingMedian:
+    """The numbers in a window, kept in order while it moves: a step costs a search, not a sort of the whole window."""
+
+    def __init__(self):
+        self.own: list[float] = []
+
+    def add(self, x: float) -> None:
+        insort(self.own, x)
+
+    def drop(self, x: float) -> None:
+        del self.own[bisect_left(self.own, x)]
+
+    @property
+    def median(self) -> float | None:
+        n = len(self.own)
+        return 0.5 * self.own[(n - 1) // 2] + 0.5 * self.own[n // 2] if n else None
+
+
+def sliding(at: np.ndarray, x: np.ndarray, places: np.ndarray, low: int, high: int) -> list[float | None]:
+    """For each of ``places``, rising, the exact median of the numbers ``x`` that stand from place + ``low`` to place + ``high``, both included.
+
+    ``at`` rises too; what isn't a number counts nowhere.
+    """
+    there = ~np.isnan(x)
+    at, x = at[there], x[there].tolist()
+    begins, ends = np.searchsorted(at, places + low), np.searchsorted(at, places + high, side="right")
+    window, first, last, out = SlidingMedian(), 0, 0, []
+    for begin, end in zip(begins.tolist(), ends.tolist(), strict=True):
+        while last < end:
+            window.add(x[last])
+            last += 1
+        while first < min(begin, last):
+            window.drop(x[first])
+            first += 1
+        out.append(window.median)
+    return out
+
+
+def sliding_median(rows: DataFrame, group: list[str], at: str, value: str, low: int, high: int, asked: Column) -> DataFrame:
+    """The ``asked`` rows with the ``median`` of ``value`` over the rows of their group from ``at`` + ``low`` to ``at`` + ``high``.
+
+    A group goes to one task: long sequences come in stretches that see the window's reach before them. Where rows are dealt by ``group`` already they
+    are not dealt again.
+    """
+    rows = rows.withColumn("asked", asked)
+    kept = [f for f in rows.schema.fields if f.name not in ("asked", "median")]
+
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(at, kind="stable", ignore_index=True)
+        found = part[part["asked"].to_numpy(bool)].drop(columns="asked")
+        medians = sliding(part[at].to_numpy(), part[value].to_numpy(float), found[at].to_numpy(), low, high)
+        return found.assign(median=pd.array(medians, "Float64"))
+
+    return rows.groupBy(*group).applyInPandas(work, T.StructType([*kept, T.StructField("median", T.DoubleType())]))
+
+
+def trailing_median(rows: DataFrame, key: list[str], at: str, value: str, reach: int, stretch: int = stretches.STRETCH) -> DataFrame:
+    """Every row with the exact ``median`` of ``value`` over the rows of its key from ``reach`` positions before it up to it."""
+    view = stretches.dealt(rows, at, max(stretch, reach), before=reach)
+    return sliding_median(view, [*key, "stretch"], at, value, -reach, 0, F.col("own")).drop("stretch", "own")
+
+
 def grid_points(lengths: DataFrame, step_rows: int) -> DataFrame:
     """``g`` = 0, 1, ...: points every ``step_rows`` samples, up to the last sample (``lengths``: ``n``)."""
     last = F.floor((F.col("n") - 1) / F.lit(step_rows)).cast("long")
@@ -30,7 +103,7 @@ def windows(breaths: DataFrame, lengths: DataFrame, win_sec: int, config: Config
     Differences to earlier peaks are taken once; those of the frame's first rows reach out of it and are taken off.
     A recording is cut into stretches of STRETCH windows, and breaths that windows of the next stretch still see go to
     both, so a long recording is many groups. Frames are the slow part: groups are dealt to as many tasks as the
-    session has shuffle partitions, however few bytes they are.
+    session has shuffle partitions, however few bytes they are. Medians slide along the same groups in the same tasks.
     """
     fs = float(config.fs)
     pause = config.irregular.pause_sec * config.fs
@@ -50,18 +123,16 @@ def windows(breaths: DataFrame, lengths: DataFrame, win_sec: int, config: Config
     reach = win_sec * config.fs
     size = F.lit(STRETCH * reach)
     seen = F.when(F.col("g").isNotNull(), F.col("at")).otherwise(F.col("at") + reach)
-    stretches = F.sequence(F.floor(F.col("at") / size), F.floor(seen / size))
-    tasks = int(breaths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    both = both.withColumn("stretch", F.explode(stretches)).repartition(tasks, *BELT, "stretch")
+    both = _by_stretch(both.withColumn("stretch", F.explode(F.sequence(F.floor(F.col("at") / size), F.floor(seen / size)))))
     w = Window.partitionBy(*BELT, "stretch").orderBy("at").rangeBetween(-reach, 0)
     found = both.select(
-        *BELT, "g", "at", "amp_ref",
+        *BELT, "stretch", "g", "at", "amp", "amp_ref",
         F.count("peak_k").over(w).alias("n"), F.min("peak_k").over(w).alias("k0"), F.max("peak_k").over(w).alias("k1"),
-        F.percentile("amp", F.lit(0.5)).over(w).alias("med_amp"),
         (F.sum("i2").over(w) - F.first("i2", ignorenulls=True).over(w)).alias("s2"),
         (F.sum("d2").over(w) - F.first("d2", ignorenulls=True).over(w) - F.coalesce(F.nth_value("d2", 2, ignoreNulls=True).over(w), F.lit(0))).alias("e2"),
         (F.sum("pause").over(w) - F.first("pause", ignorenulls=True).over(w)).alias("pauses"),
-    ).where(F.col("g").isNotNull())
+    )
+    found = sliding_median(found, [*BELT, "stretch"], "at", "amp", -reach, 0, F.col("g").isNotNull()).withColumnRenamed("median", "med_amp")
     span, m = (F.col("k1") - F.col("k0")).cast("double"), F.col("n").cast("double")
     var = F.greatest(F.lit(0.0), (F.col("s2") - span * span / F.nullif(m - 1, F.lit(0.0))) / F.nullif(m - 2, F.lit(0.0)))
     return found.select(
@@ -126,14 +197,18 @@ def amp_ratio(windows: DataFrame) -> DataFrame:
 def sigh_flags(breaths: DataFrame, config: Config) -> DataFrame:
     """Breaths ``ratio`` times as deep as the median of those before it in the window, itself left out."""
     p = config.sigh
-    w = Window.partitionBy(*BELT).orderBy("peak_k").rangeBetween(-p.prev_win_sec * config.fs, -1)
+    reach = p.prev_win_sec * config.fs
     order = Window.partitionBy(*BELT).orderBy("peak_k")
-    med, n = F.percentile("amp", F.lit(0.5)).over(w), F.count(F.lit(1)).over(w)
-    flag = (F.col("peak_k") >= p.prev_win_sec * config.fs) & (F.col("n_prev") >= p.min_prev_breaths) & (F.col("med_prev") > 0)
-    return breaths.select(
-        *BELT, "peak_k", "amp", n.alias("n_prev"), med.alias("med_prev"),
-        F.lag("peak_k").over(order).alias("prev_k"), F.lead("peak_k").over(order).alias("next_k"),
-    ).withColumn("flag", F.coalesce(flag & (F.col("amp") >= p.ratio * F.col("med_prev")), F.lit(False)))
+    rows = breaths.select(*BELT, "peak_k", F.col("amp").cast("double").alias("amp"), F.lag("peak_k").over(order).alias("prev_k"), F.lead("peak_k").over(order).alias("next_k"))
+    size = STRETCH * reach
+    seen = _by_stretch(stretches.dealt(rows, "peak_k", size, before=reach))
+    w = Window.partitionBy(*BELT, "stretch").orderBy("peak_k").rangeBetween(-reach, -1)
+    seen = seen.withColumn("n_prev", F.count(F.lit(1)).over(w))
+    found = sliding_median(seen, [*BELT, "stretch"], "peak_k", "amp", -reach, -1, F.col("own")).withColumnRenamed("median", "med_prev")
+    flag = (F.col("peak_k") >= reach) & (F.col("n_prev") >= p.min_prev_breaths) & (F.col("med_prev") > 0)
+    return found.select(*BELT, "peak_k", "amp", "n_prev", "med_prev", "prev_k", "next_k").withColumn(
+        "flag", F.coalesce(flag & (F.col("amp") >= p.ratio * F.col("med_prev")), F.lit(False))
+    )
 
 
 def shallow_of(windows: DataFrame, config: Config, p: Shallow | Rate) -> DataFrame:

@@ -8,19 +8,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathmark.config import Config, half_up
+from breathmark.operators.stretches import STRETCH, carried, numbered_groups
 from breathmark.schema import REC, SHORT
 
+#: Seconds of a bin under which spans meet.
+BIN = 300.0
 EVENT = [*REC, "type", "start_idx", "end_idx", "start_t", "end_t"]
 
 
-def runs(points: DataFrame, flag: Column, pos: str, min_points: int) -> DataFrame:
-    """``first, last, n`` of each run of neighbouring positions where ``flag``; shorter ones than ``min_points`` go."""
-    true = points.where(F.coalesce(flag, F.lit(False))).select(*REC, F.col(pos).alias("p"))
-    island = F.col("p") - F.row_number().over(Window.partitionBy(*REC).orderBy("p"))
-    found = true.withColumn("island", island).groupBy(*REC, "island")
+def runs(points: DataFrame, flag: Column, pos: str, min_points: int, block: int = STRETCH) -> DataFrame:
+    """``first, last, n`` of each run of neighbouring positions where ``flag``; shorter ones than ``min_points`` go.
+
+    Runs are found within blocks of ``block`` positions. Only those that touch an edge of theirs, two a block at most, meet by recording to be stitched.
+    """
+    true = points.where(F.coalesce(flag, F.lit(False))).select(*REC, F.col(pos).cast("long").alias("p"))
+    true = true.withColumn("block", F.floor(F.col("p") / F.lit(block)))
+    island = F.col("p") - F.row_number().over(Window.partitionBy(*REC, "block").orderBy("p"))
+    pieces = true.withColumn("island", island).groupBy(*REC, "block", "island").agg(F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("n"))
+    start = F.col("block") * block
+    edge = (F.col("first") == start) | (F.col("last") == start + block - 1)
+    # Pieces within a block keep it as their part; all that touch edges are one part of the recording.
+    pieces = pieces.withColumn("part", F.when(~edge, F.col("block")))
+    order = Window.partitionBy(*REC, "part").orderBy("first")
+    new = F.coalesce((F.col("first") != F.lag("last").over(order) + 1).cast("long"), F.lit(1))
+    run = F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = pieces.withColumn("new", new).withColumn("run", run).groupBy(*REC, "part", "run")
     return (
-        found.agg(F.min("p").alias("first"), F.max("p").alias("last"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_points).drop("island")
+        found.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+        .where(F.col("n") >= min_points).drop("part", "run")
     )
 
 
@@ -69,8 +84,19 @@ def pad(events: DataFrame, lengths: DataFrame, seconds: float, config: Config) -
     )
 
 
-def _spans(events: DataFrame, shift: float = 0.0) -> DataFrame:
-    return events.select(*REC, F.col("start_t").alias("_s"), F.col("end_t").alias("_e"))
+def _spans(events: DataFrame) -> DataFrame:
+    """The spans of events, once for each bin of BIN seconds that they touch."""
+    return events.select(*[F.col(c).alias(f"_{c}") for c in REC], F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), F.explode(_bins("start_t", "end_t")).alias("_bin"))
+
+
+def _bins(start: str, end: str, more: float = 0.0) -> Column:
+    first, last = (F.floor(t / F.lit(BIN)) for t in (F.col(start), F.col(end) + F.lit(float(more))))
+    return F.sequence(first, F.greatest(first, last))
+
+
+def _same_bin() -> list[Column]:
+    """Rows meet under recording and bin, so a recording of any length is many groups."""
+    return [F.col(c) == F.col(f"_{c}") for c in REC] + [F.col("_at") == F.col("_bin")]
 
 
 def meets(lag: float = 0.0) -> Column:
@@ -80,46 +106,46 @@ def meets(lag: float = 0.0) -> Column:
 
 def overlapping(events: DataFrame, others: DataFrame, lag: float = 0.0) -> DataFrame:
     """Events that some other meets."""
-    spans = _spans(others)
-    same = [events[c].eqNullSafe(spans[c]) for c in REC]
-    return events.join(spans, [*same, meets(lag)], "left_semi")
+    own = events.columns
+    hits = events.withColumn("_at", F.explode(_bins("start_t", "end_t", lag))).join(_spans(others), [*_same_bin(), meets(lag)], "left_semi")
+    hits = hits.select(own).distinct().withColumnsRenamed({c: f"_{c}" for c in own})
+    return events.join(hits, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in own], "left_semi")
 
 
 def with_overlap(events: DataFrame, others: DataFrame, name: str, lag: float = 0.0) -> DataFrame:
     """``events`` with whether some other meets each."""
-    keyed = events.withColumn("_event", F.struct(*events.columns))
-    spans = _spans(others).withColumnsRenamed({c: f"_{c}" for c in REC})
-    on = [F.col(c) == F.col(f"_{c}") for c in REC] + [meets(lag)]
-    met = keyed.join(spans, on, "left").groupBy("_event").agg(F.coalesce(F.bool_or(F.col("_s").isNotNull()), F.lit(False)).alias(name))
+    keyed = events.withColumn("_event", F.struct(*events.columns)).withColumn("_at", F.explode_outer(_bins("start_t", "end_t", lag)))
+    met = keyed.join(_spans(others), [*_same_bin(), meets(lag)], "left")
+    met = met.groupBy("_event").agg(F.coalesce(F.bool_or(F.col("_s").isNotNull()), F.lit(False)).alias(name))
     return met.select("_event.*", name)
 
 
 def points_outside(points: DataFrame, events: DataFrame, t: Column) -> DataFrame:
     """Points in no event; ends belong to events."""
-    spans = _spans(events).withColumnsRenamed({c: f"_{c}" for c in REC})
-    on = [F.col(c) == F.col(f"_{c}") for c in REC] + [t.between(F.col("_s"), F.col("_e"))]
-    return points.join(spans, on, "left_anti")
+    binned = points.withColumn("_at", F.floor(t / F.lit(BIN)))
+    return binned.join(_spans(events), [*_same_bin(), t.between(F.col("_s"), F.col("_e"))], "left_anti").drop("_at")
 
 
 def merge(events: DataFrame, tolerance: float, by_type: bool = True) -> DataFrame:
     """Events that begin no later than ``tolerance`` after all before them end become one, of one type or of any.
 
-    Start and type come from the first of them, ends are the largest.
+    Start and type come from the first of them, ends are the largest. The greatest end so far runs within bins of BIN seconds and is
+    carried from bin to bin, so a recording of any length is many groups.
     """
     key = [*REC, "type"] if by_type else REC
-    order = Window.partitionBy(*key).orderBy("start_t", "end_t", "start_idx", "end_idx", "type")
-    before = F.max("end_t").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.coalesce((F.col("start_t") > before + F.lit(float(tolerance))).cast("long"), F.lit(1))
-    numbered = events.withColumn("_new", new).withColumn("_nr", F.row_number().over(order))
-    numbered = numbered.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    order = ["start_t", "end_t", "start_idx", "end_idx", "type"]
+    rows = events.select(EVENT).withColumn("bin", F.coalesce(F.floor(F.col("start_t") / F.lit(BIN)), F.lit(-(1 << 40))))
+    rows = carried(rows, key, "bin", order, before=("max", F.col("end_t")))
+    new = F.coalesce(F.col("start_t") > F.col("before") + F.lit(float(tolerance)), F.lit(True))
+    rows = numbered_groups(rows, key, "bin", [*order, "before"], new)  # equal events keep the order in which the end ran
     return (
-        numbered.groupBy(*key, "_island")
+        rows.groupBy(*key, "group")
         .agg(
-            F.min_by(F.struct("type", "start_idx", "start_t"), "_nr").alias("_f"),
+            F.min_by(F.struct(F.col("type").alias("kind"), "start_idx", "start_t"), F.struct(*order)).alias("f"),
             F.max("end_idx").alias("end_idx"), F.max("end_t").alias("end_t"),
         )
-        .select(*REC, "_f.type", "_f.start_idx", "end_idx", "_f.start_t", "end_t")
-    )
+        .select(*REC, F.col("f.kind").alias("type"), "f.start_idx", "end_idx", "f.start_t", "end_t")
+    )
 
 
 def concat(lists: list[DataFrame]) -> DataFrame:

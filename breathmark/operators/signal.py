@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathmark.config import Config
+from breathmark.operators.stretches import STRETCH, carried, dealt, medians
 from breathmark.schema import BELTS, REC
+from breathmark.sources.storage import durable
 
 KEY = [*REC, "segment", "belt"]
+#: Stretches, or candidates, that are looked at together on the second level.
+BLOCK = 4096
 
 
 def head_segment(signals: DataFrame, config: Config) -> DataFrame:
@@ -32,71 +36,136 @@ def belt_samples(signals: DataFrame, config: Config) -> DataFrame:
     )
 
 
-def detrend(samples: DataFrame) -> DataFrame:
+def _centred(samples: DataFrame, before: int, after: int, stretch: int) -> DataFrame:
+    """Samples in stretches with so much reach, less the median of their segment, which comes to each stretch as one row."""
+    middle = medians(samples, KEY, "x", last=F.col("k"))
+    stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") + before) / F.lit(stretch)))
+    middle = middle.select(*KEY, "median", F.explode(stretches).alias("stretch"))
+    rows = dealt(samples.select(*KEY, "k", "x"), "k", stretch, before, after).repartition(*KEY, "stretch")
+    return rows.join(middle, [*KEY, "stretch"], "left").withColumn("x", F.col("x") - F.col("median")).drop("median")
+
+
+def detrend(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """``x`` less the median of its segment."""
-    return samples.withColumn("x", F.col("x") - F.median("x").over(Window.partitionBy(*KEY)))
+    return _centred(samples, 0, 0, stretch).select(*KEY, "k", "x")
 
 
-def moving_mean(samples: DataFrame, rows: int) -> DataFrame:
-    """``x0``: the mean of ``rows`` samples, of an even number one more before than after; fewer at the ends."""
+def _averaged(view: DataFrame, rows: int) -> DataFrame:
+    """``x0`` within each stretch, right where the stretch sees the whole reach of the mean."""
     if rows <= 1:
-        return samples.withColumn("x0", F.col("x"))
-    frame = Window.partitionBy(*KEY).orderBy("k").rowsBetween(-(rows // 2), rows - 1 - rows // 2)
-    return samples.withColumn("x0", F.avg("x").over(frame))
+        return view.withColumn("x0", F.col("x"))
+    frame = Window.partitionBy(*KEY, "stretch").orderBy("k").rowsBetween(-(rows // 2), rows - 1 - rows // 2)
+    return view.withColumn("x0", F.avg("x").over(frame))
 
 
-def smoothed(signals: DataFrame, config: Config) -> DataFrame:
-    return moving_mean(detrend(belt_samples(signals, config)), config.smooth_rows)
+def moving_mean(samples: DataFrame, rows: int, stretch: int = STRETCH) -> DataFrame:
+    """``x0``: the mean of ``rows`` samples, of an even number one more before than after; fewer at the ends."""
+    view = dealt(samples, "k", stretch, rows // 2, max(0, rows - 1 - rows // 2)).repartition(*KEY, "stretch")
+    return _averaged(view, rows).where("own").select(*samples.columns, "x0")
 
 
-def local_maxima(samples: DataFrame) -> DataFrame:
-    """The first sample of each flat run of ``x0``, with ``is_cand``: higher than the runs before and after it.
+def _smooth_view(signals: DataFrame, config: Config, stretch: int) -> DataFrame:
+    """Smoothed samples in stretches, each with the one before it and the one after it."""
+    rows = config.smooth_rows
+    view = _centred(belt_samples(signals, config), rows // 2 + 1, max(0, rows - 1 - rows // 2) + 1, stretch)
+    start = F.col("stretch") * stretch
+    return _averaged(view, rows).where(F.col("k").between(start - 1, start + stretch))
 
-    So a flat top counts once, at its first sample. First and last runs and neighbours of missing ones are none.
-    """
-    order = Window.partitionBy(*KEY).orderBy("k")
-    first = F.row_number().over(order) == 1
-    runs = samples.withColumn("_new", first | ~F.col("x0").eqNullSafe(F.lag("x0").over(order))).where("_new")
-    above = (F.col("x0") > F.lag("x0").over(order)) & (F.col("x0") > F.lead("x0").over(order))
-    return runs.select(*KEY, "k", "x0", F.coalesce(above, F.lit(False)).alias("is_cand"))
 
+def smoothed(signals: DataFrame, config: Config, stretch: int = STRETCH) -> DataFrame:
+    return _smooth_view(signals, config, stretch).where("own").select(*KEY, "k", "x", "x0")
 
-def candidates(samples: DataFrame) -> DataFrame:
-    """Local maxima with ``low``, the least value since the one before, at ``low_k`` first, and ``tail``, the least after the last."""
-    order = Window.partitionBy(*KEY).orderBy("k")
-    parts = local_maxima(samples).withColumn("part", F.coalesce(F.sum(F.col("is_cand").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+
+def _parts(view: DataFrame, stretch: int) -> DataFrame:
+    """Samples of each stretch up to its maxima, one row a part: the ``least`` of them, the ``first`` that differs from what is before it, and the maximum ``top``.
+
+    A flat run counts once, at its first sample, and is a maximum where it is higher than the runs before and after it. Of one that
+    runs on beyond the stretch (``open``) the next stretches decide.
+    """
+    order = Window.partitionBy(*KEY, "stretch").orderBy("k")
+    whole = Window.partitionBy(*KEY, "stretch")
+    new = (F.row_number().over(order) == 1) | ~F.col("x0").eqNullSafe(F.lag("x0").over(order))
+    runs = view.select(*KEY, "stretch", "own", "k", "x0", new.alias("new"), (F.max("k").over(whole) >= (F.col("stretch") + 1) * stretch).alias("more")).where("new")
+    runs = runs.withColumns({"before": F.lag("x0").over(order), "after": F.lead("x0").over(order), "later": F.lead("k").over(order)})
+    runs = runs.withColumn("open", F.col("later").isNull() & F.col("more"))
+    top = F.col("own") & (F.col("x0") > F.col("before")) & (F.col("open") | (F.col("x0") > F.col("after")))
+    runs = runs.withColumn("top", F.coalesce(top, F.lit(False)))
+    part = F.coalesce(F.sum(F.col("top").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return (
-        parts.groupBy(*KEY, "part")
+        runs.withColumn("piece", part).where("own").groupBy(*KEY, "stretch", "piece")
         .agg(
-            F.min(F.when(F.col("x0").isNotNull(), F.struct("x0", "k"))).alias("least"),
-            F.max(F.when(F.col("is_cand"), F.col("k"))).alias("k"),
-            F.max(F.when(F.col("is_cand"), F.col("x0"))).alias("h"),
+            F.min(F.when(F.col("x0").isNotNull(), F.struct("x0", "k"))).alias("least"), F.min(F.struct("k", "x0")).alias("first"),
+            F.max(F.when(F.col("top"), F.struct("k", "x0", "open"))).alias("top"),
         )
-        .withColumn("tail", F.lead("least.x0").over(Window.partitionBy(*KEY).orderBy("part")))
-        .where(F.col("k").isNotNull())
-        .select(*KEY, "k", "h", F.col("least.x0").alias("low"), F.col("least.k").alias("low_k"), "tail")
+    )
+
+
+def _view(samples: DataFrame, stretch: int) -> DataFrame:
+    return dealt(samples, "k", stretch, 1, 1).repartition(*KEY, "stretch")
+
+
+def _candidates(view: DataFrame, stretch: int) -> DataFrame:
+    """Candidates from samples in stretches. What a stretch can't know is settled on rows of parts, which are written first: samples are read once."""
+    parts = durable(_parts(view, stretch)).withColumn("block", F.floor(F.col("stretch") / BLOCK))
+    place = ["stretch", "piece"]
+    parts = carried(parts, KEY, "block", place, after=("next", F.col("first.x0")))
+    high = F.coalesce(F.col("top.k").isNotNull() & (~F.col("top.open") | (F.col("top.x0") > F.col("after"))), F.lit(False))
+    parts = parts.withColumn("high", high)
+    parts = carried(parts, KEY, "block", place, part=("sum", F.col("high").cast("long")))
+    merged = parts.groupBy(*KEY, "part").agg(F.min("least").alias("least"), F.max(F.when(F.col("high"), F.struct("top.k", F.col("top.x0").alias("h")))).alias("top"))
+    # Each part's least is also what lies after the maximum of the part before it.
+    own = F.struct("part", "least", "top", F.lit(None).cast("double").alias("tail"))
+    other = F.struct((F.col("part") - 1).alias("part"), *[F.lit(None).cast(merged.schema[c].dataType).alias(c) for c in ("least", "top")], F.col("least.x0").alias("tail"))
+    both = merged.select(*KEY, F.inline(F.array(own, other))).groupBy(*KEY, "part").agg(F.max("least").alias("least"), F.max("top").alias("top"), F.max("tail").alias("tail"))
+    return both.where(F.col("top").isNotNull()).select(
+        *KEY, "part", "top.k", "top.h", F.col("least.x0").alias("low"), F.col("least.k").alias("low_k"), "tail"
     )
 
 
+def candidates(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """Local maxima of ``x0``, numbered (``part``), with ``low``, the least value since the one before, at ``low_k`` first, and ``tail``, the least up to the next.
+
+    A flat top counts once, at its first sample. First and last runs and neighbours of missing samples are none.
+    """
+    return _candidates(_view(samples, stretch), stretch)
+
+
+def local_maxima(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The place ``k`` and height ``x0`` of each local maximum."""
+    return candidates(samples, stretch).select(*KEY, "k", F.col("h").alias("x0"))
+
+
+def least_up_to_higher(h: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each height the least of ``low`` back to the nearest higher one before it, or to the start, and whether there is such a one.
+
+    ``low[i]`` lies between heights i - 1 (or the start) and i.
+    """
+    out, found, stack = np.empty(len(h)), np.zeros(len(h), bool), []
+    for i, (height, least) in enumerate(zip(h.tolist(), low.tolist(), strict=True)):
+        while stack and stack[-1][0] <= height:
+            least = min(least, stack.pop()[1])
+        found[i] = bool(stack)
+        stack.append((height, least))
+        out[i] = least
+    return out, found
+
+
+def _sides(h: np.ndarray, low: np.ndarray, tail: float) -> tuple[np.ndarray, ...]:
+    """least_up_to_higher to the left and to the right; ``tail`` is the least after the last height."""
+    left, left_found = least_up_to_higher(h, low)
+    right, right_found = least_up_to_higher(h[::-1], np.append(low[1:], tail)[::-1])
+    return left, left_found, right[::-1], right_found[::-1]
+
+
 def prominences(h: np.ndarray, low: np.ndarray, tail: float) -> np.ndarray:
     """Height over the higher of the two lowest points towards the nearest higher maximum, or the end, on each side.
 
     ``low[i]`` lies between maximum i - 1 (or the start) and i; ``tail`` after the last.
     """
-
-    def side(heights: np.ndarray, lows: np.ndarray) -> np.ndarray:
-        out, stack = np.empty(len(heights)), []
-        for i, (height, least) in enumerate(zip(heights.tolist(), lows.tolist(), strict=True)):
-            while stack and stack[-1][0] <= height:
-                least = min(least, stack.pop()[1])
-            stack.append((height, least))
-            out[i] = least
-        return out
-
     if not len(h):
         return np.empty(0)
-    after = np.append(low[1:], tail)
-    return h - np.maximum(side(h, low), side(h[::-1], after[::-1])[::-1])
+    left, _, right, _ = _sides(h, low, tail)
+    return h - np.maximum(left, right)
 
 
 def spaced(k: np.ndarray, h: np.ndarray, distance: int) -> np.ndarray:
@@ -110,51 +179,92 @@ def spaced(k: np.ndarray, h: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
-def lows_between(kept: np.ndarray, low: np.ndarray, low_k: np.ndarray) -> np.ndarray:
-    """For each maximum kept, at the places ``kept`` among all, but the last: the place of the least low up to the next.
+_CANDIDATE = "subject int, condition int, segment string, belt string, part long, k long, h double, low double, low_k long, tail double"
+
+
+def with_prominence(cands: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Candidates with their ``prominence``, in two levels: blocks of ``block`` candidates, then what blocks couldn't settle.
 
-    Low i lies between maximum i - 1 and i; of equal lows the first counts.
+    A block settles each side of a candidate on which it holds a higher one. What is left over, and all that other blocks can run into, are candidates that are
+    highest so far from one end of their block, some of a hundred in waves; those between leave the least of their lows to the next one, and the shorter sequence is
+    gone through in the same way. (Heights that rise all along leave all.)
     """
-    own = np.arange(kept[0] + 1, kept[-1] + 1)
-    breath = np.searchsorted(kept, own) - 1
-    order = np.lexsort((low_k[own], low[own], breath))
-    return own[order[np.flatnonzero(np.diff(breath[order], prepend=-1))]]
+    shape = f"{_CANDIDATE}, prominence double, lft double, rgt double, gap double"
 
+    def first(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k", ignore_index=True)
+        low, h = group["low"].to_numpy(), group["h"].to_numpy()
+        tail = group["tail"].iloc[-1]
+        left, left_found, right, right_found = _sides(h, low, np.inf if pd.isna(tail) else tail)
+        kept = ~(left_found & right_found)
+        gaps = np.minimum.reduceat(low, np.append(0, np.flatnonzero(kept)[:-1] + 1)) if kept.any() else low[:0]
+        group["prominence"] = np.where(kept, np.nan, h - np.maximum(left, right))
+        group["lft"], group["rgt"] = np.where(left_found, left, np.nan), np.where(right_found, right, np.nan)
+        group["gap"] = np.nan
+        group.loc[kept, "gap"] = gaps
+        return group.drop(columns="block")
+
+    def second(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k", ignore_index=True)
+        tail = group["tail"].iloc[-1]
+        left, _, right, _ = _sides(group["h"].to_numpy(), group["gap"].to_numpy(), np.inf if pd.isna(tail) else tail)
+        left, right = group["lft"].fillna(pd.Series(left)), group["rgt"].fillna(pd.Series(right))
+        return group.assign(prominence=group["h"] - np.maximum(left, right))
 
-def pick_peaks(cands: DataFrame, min_prominence: float, distance: int | None) -> DataFrame:
-    """Candidates that stand out by ``min_prominence``, then thinned to ``distance`` samples; None leaves them.
+    one = durable(cands.select(*KEY, "part", "k", "h", "low", "low_k", "tail", F.floor(F.col("part") / block).alias("block")).groupBy(*KEY, "block").applyInPandas(first, shape))
+    settled = F.col("prominence").isNotNull() & ~F.isnan("prominence")
+    rest = one.where(~settled).groupBy(*KEY).applyInPandas(second, shape)
+    return one.where(settled).unionByName(rest).drop("lft", "rgt", "gap")
+
+
+def _spaced_out(peaks: DataFrame, distance: int) -> DataFrame:
+    """Peaks thinned to ``distance`` in independent groups: where neighbours are further apart, no peak deletes one of the other group.
 
-    ``low_val`` at ``low_k``: the least value up to the next peak, null at the last. Only the compact table of candidates
-    reaches Python, a group for each recording, segment and belt.
+    Many groups go to one task, those that begin within the same BLOCK distances; a group is never cut.
     """
+    order = Window.partitionBy(*KEY).orderBy("k")
+    before = F.lag("k").over(order)
+    starts = peaks.withColumn("start", F.when(before.isNull() | (F.col("k") - before > distance), F.col("k")))
+    groups = starts.withColumn("start", F.last("start", ignorenulls=True).over(order)).withColumn("some", F.floor(F.col("start") / (BLOCK * (distance + 1))))
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k", ignore_index=True)
-        tail, low, low_k = group["tail"].iloc[-1], group["low"].to_numpy(), group["low_k"].to_numpy()
-        group["prominence"] = prominences(group["h"].to_numpy(), low, np.inf if pd.isna(tail) else tail)
-        found = group[group["prominence"] >= min_prominence]
-        if distance is not None and len(found):
-            found = found[spaced(found["k"].to_numpy(), found["h"].to_numpy(), distance)]
-        found = found[[*KEY, "k", "h", "prominence"]].assign(low_val=None, low_k=None)
-        if len(found) > 1:
-            at = lows_between(found.index.to_numpy(), low, low_k)
-            found["low_val"], found["low_k"] = [*low[at].tolist(), None], pd.array([*low_k[at].tolist(), None], "Int64")
-        return found
-
-    schema = "subject int, condition int, segment string, belt string, k long, h double, prominence double, low_val double, low_k long"
-    return cands.groupBy(*KEY).applyInPandas(pick, schema)
-
-
-def breath_table(signals: DataFrame, config: Config) -> DataFrame:
+        return group[spaced(group["k"].to_numpy(), group["h"].to_numpy(), distance)][[*KEY, "k"]]
+
+    return groups.groupBy(*KEY, "some").applyInPandas(pick, "subject int, condition int, segment string, belt string, k long")
+
+
+def pick_peaks(cands: DataFrame, min_prominence: float, distance: int | None) -> DataFrame:
+    """Candidates that stand out by ``min_prominence``, then thinned to ``distance`` samples; None leaves them.
+
+    ``low_val`` at ``low_k``: the least value up to the next peak, at the last one up to the last candidate. Only candidates reach Python.
+    """
+    rated = durable(with_prominence(cands))
+    found = rated.where(F.col("prominence") >= min_prominence)
+    if distance is not None:
+        found = _spaced_out(found, distance)
+    names = [F.col(c).alias(f"kept_{c}") for c in (*KEY, "k")]
+    same = [F.col(c) == F.col(f"kept_{c}") for c in (*KEY, "k")]
+    marked = rated.join(found.select(*names), same, "left")
+    # A low belongs to the last peak before its candidate.
+    before = Window.partitionBy(*KEY).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    marked = marked.withColumn("peak", F.last("kept_k", ignorenulls=True).over(before))
+    lows = marked.where(F.col("peak").isNotNull() & F.col("low").isNotNull()).groupBy(*KEY, F.col("peak").alias("k")).agg(F.min(F.struct("low", "low_k")).alias("least"))
+    kept = marked.where(F.col("kept_k").isNotNull()).select(*KEY, "k", "h", "prominence")
+    return kept.join(lows, [*KEY, "k"], "left").select(*KEY, "k", "h", "prominence", F.col("least.low").alias("low_val"), F.col("least.low_k").alias("low_k"))
+
+
+def breath_table(signals: DataFrame, config: Config, stretch: int = STRETCH) -> DataFrame:
     """One row per peak: trough before the next peak, amplitude, interval and rate; nulls at the last one.
 
     Segments with fewer than ``min_num_peaks`` peaks have none.
     """
-    samples = smoothed(signals, config)
-    return breaths_of(samples, pick_peaks(candidates(samples), config.resp.min_peak_prom, config.peak_dist_rows), config)
+    view = _smooth_view(signals, config, stretch)
+    peaks = pick_peaks(_candidates(view, stretch), config.resp.min_peak_prom, config.peak_dist_rows)
+    return breaths_of(view.where("own"), peaks, config, stretch)
 
 
-def breaths_of(samples: DataFrame, peaks: DataFrame, config: Config) -> DataFrame:
+def breaths_of(samples: DataFrame, peaks: DataFrame, config: Config, stretch: int = STRETCH) -> DataFrame:
     """Breaths from picked peaks; only troughs at a percentile look at ``samples`` again."""
     order = Window.partitionBy(*KEY).orderBy("k")
     whole = Window.partitionBy(*KEY)
@@ -166,7 +276,7 @@ def breaths_of(samples: DataFrame, peaks: DataFrame, config: Config) -> DataFram
         )
     )
     if config.resp.trough_method != "min":
-        low = percentile_troughs(samples, peaks, config.resp.trough_prct)
+        low = percentile_troughs(samples, peaks, config.resp.trough_prct, stretch)
         peaks = peaks.drop("low").join(low, [*KEY, "breath_no"], "left")
     last = F.col("next_k").isNull()
     ibi = (F.col("next_k") - F.col("k")) / F.lit(float(config.fs))
@@ -179,13 +289,13 @@ def breaths_of(samples: DataFrame, peaks: DataFrame, config: Config) -> DataFram
     )
 
 
-def percentile_troughs(samples: DataFrame, peaks: DataFrame, prct: float) -> DataFrame:
+def percentile_troughs(samples: DataFrame, peaks: DataFrame, prct: float, stretch: int = STRETCH) -> DataFrame:
     """``low`` of each breath: the sample nearest to the value at plotting position (i - 0.5) / n, both peaks included."""
-    order = Window.partitionBy(*KEY).orderBy("k")
     # Each sample joins the breath that it lies in; a peak closes the breath before it too.
     tagged = samples.select(*KEY, "k", "x0").join(peaks.select(*KEY, "k", "breath_no"), [*KEY, "k"], "left")
-    here = F.last("breath_no", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    tagged = tagged.withColumn("b", here).where(F.col("b").isNotNull())
+    tagged = tagged.withColumn("stretch", F.floor(F.col("k") / F.lit(stretch)))
+    tagged = carried(tagged, KEY, "stretch", ["k"], b=("last", F.col("breath_no")))
+    tagged = tagged.withColumn("b", F.coalesce("breath_no", "b")).where(F.col("b").isNotNull())
     both = F.when(F.col("breath_no") > 1, F.array(F.col("b") - 1, F.col("b"))).otherwise(F.array("b"))
     spread = tagged.select(*KEY, "k", "x0", F.explode(both).alias("b"))
     own = Window.partitionBy(*KEY, "b")
@@ -210,10 +320,16 @@ def rate_summary(breaths: DataFrame) -> DataFrame:
 
 
 def spo2_baseline(signals: DataFrame, config: Config) -> DataFrame:
+    """Median and mean of the oxygen signal's head, which is as long as the configuration says."""
     head = head_segment(signals, config)
     return head.groupBy(*REC).agg(F.median("spo2").alias("spo2_median"), F.avg("spo2").alias("spo2_mean"))
 
 
+def oxygen_units(base: DataFrame) -> DataFrame:
+    """``base`` with ``plausible``: whether the median of oxygen saturation lies from 50 to 100; null where there is none."""
+    return base.withColumn("plausible", F.col("spo2_median").between(50, 100))
+
+
 def baseline(signals: DataFrame, breaths: DataFrame, config: Config) -> DataFrame:
     """One row per recording; references are null where the head has too few breaths."""
     head = breaths.where(F.col("segment") == "baseline")

@@ -252,7 +252,7 @@ SAMPLE_TYPES = [
     "slow_breathing_shallow_desat", "apnea_desat", "desaturation", "Rapid Breathing", "foo-bar", " Shallow_Breathing ", "SHB", "tachypnea-x",
     "hypoxia", "sigh", "Sig", "RespiratoryAsynchrony", "slow breathing deep", "irb", "apn", "deep sigh",
 ]
-_TYPES = ", ".join(f"('{t}')" for t in SAMPLE_TYPES)
+_TYPES = ", ".join(f"'{t}'" for t in SAMPLE_TYPES)
 
 ORACLES = {
     "scan_wide_files": query("SELECT subject, condition, k, spo2, resp_l, resp_d FROM signals"),
@@ -270,9 +270,23 @@ ORACLES = {
     "scan_signals": query("SELECT subject, condition, k, spo2, resp_l, resp_d FROM signals"),
     "head_segment": query("SELECT subject, condition, k, spo2 FROM signals WHERE k < 60"),
     "grid_points": query("SELECT subject, condition, unnest(range((n - 1) // 60 + 1)) AS g FROM lens"),
-    "label_dictionary": """SELECT * FROM (VALUES (1, 'ShallowBreathing', 'ShB'), (2, 'IrregularBreathing', 'IrB'), (3, 'SlowBreathing', 'SlB'),
+    "label_dictionary": query("""SELECT l.subject, l.condition, idx, long_name, short_name, count(f.type) AS n_events
+        FROM lens l JOIN (VALUES (1, 'ShallowBreathing', 'ShB'), (2, 'IrregularBreathing', 'IrB'), (3, 'SlowBreathing', 'SlB'),
         (4, 'Rapid Breathing', 'RaB'), (5, 'RespiratoryAsynchrony', 'ReA'), (6, 'Desaturation', 'Des'), (7, 'Apnea', 'Apn'), (8, 'Sigh', 'Sig'))
-        t(idx, long_name, short_name)""",
+        t(idx, long_name, short_name) ON true LEFT JOIN final f ON f.subject = l.subject AND f.condition = l.condition AND f.type = short_name GROUP BY ALL"""),
+    "scan_split_files": query("SELECT subject, condition, k, spo2, resp_l, resp_d FROM signals"),
+    "recording_files": query("SELECT subject, condition, n, printf('ECG1_ECG2_SpO2_RespL_BP_RespD_fs200_Sub%d_Pom%d_DeTr_Norm.dat', subject, condition) AS file FROM lens"),
+    "config_rows": query("""SELECT subject, condition, n::DOUBLE AS seconds, least(n, 60) AS baseline_rows, 3 AS smooth_rows, 2 AS peak_dist_rows,
+        n AS grid_points, 3 AS desat_rows FROM lens"""),
+    "spo2_units": query("""SELECT subject, condition, round(median(spo2), 6) AS spo2_median, median(spo2) BETWEEN 50 AND 100 AS plausible
+        FROM signals WHERE k < 60 GROUP BY ALL"""),
+    "belt_medians": query(f"SELECT {KEY}, median(x) AS median FROM belts GROUP BY ALL"),
+    "sliding_median": query("""SELECT subject, condition, k, round(median(spo2) OVER w, 6) AS median FROM signals
+        WINDOW w AS (PARTITION BY subject, condition ORDER BY k ROWS BETWEEN 60 PRECEDING AND CURRENT ROW)"""),
+    "asof_breath": query("""SELECT p.subject, p.condition, p.belt, p.g, f.peak_k, round(f.amp, 6) AS amp, p.g - f.peak_k AS since
+        FROM (SELECT g.subject, g.condition, b.belt, g.g FROM grid g JOIN (SELECT DISTINCT subject, condition, belt FROM full_breaths) b
+              ON b.subject = g.subject AND b.condition = g.condition) p
+        ASOF LEFT JOIN full_breaths f ON f.subject = p.subject AND f.condition = p.condition AND f.belt = p.belt AND f.peak_k <= p.g"""),
     "baseline_spo2": query("SELECT subject, condition, round(median(spo2), 6) AS spo2_median, round(avg(spo2), 6) AS spo2_mean FROM signals WHERE k < 60 GROUP BY ALL"),
     "detrend": query(f"SELECT {KEY}, k, x FROM centred"),
     "moving_mean": query(f"SELECT {KEY}, k, {R('x0')} FROM smooth"),
@@ -313,12 +327,14 @@ ORACLES = {
               WHERE EXISTS (SELECT 1 FROM sig WHERE sig.subject = lens.subject AND sig.condition = lens.condition)) p
         LEFT JOIN sig e ON e.subject = p.subject AND e.condition = p.condition AND (e.start_t + e.end_t) / 2 BETWEEN p.g * 60 - 1800 AND p.g * 60
         GROUP BY ALL)"""),
-    "normalize_types": f"SELECT raw_type, {RULES} AS type, contains(s, 'desat') AS desat, {DEPTH} AS depth FROM (SELECT raw_type, replace(replace(lower(trim(raw_type)), ' ', '_'), '-', '_') AS s FROM (VALUES {_TYPES}) t(raw_type))",
+    "normalize_types": f"""SELECT event_type, raw_type, {RULES} AS type, contains(s, 'desat') AS desat, {DEPTH} AS depth, count(*) AS n
+        FROM (SELECT event_type, raw_type, replace(replace(lower(trim(raw_type)), ' ', '_'), '-', '_') AS s
+              FROM (SELECT event_type, [{_TYPES}][event_id % {len(SAMPLE_TYPES)} + 1] AS raw_type FROM events)) GROUP BY ALL""",
     "detect_shb": query(f"SELECT {EV} FROM shb"),
     "detect_irb": query(f"SELECT {EV} FROM irb"),
     "detect_slb": query(f"SELECT {EV} FROM slb"),
     "detect_rab": query(f"SELECT {EV} FROM rab"),
-    "detect_rea": query(f"SELECT {EV} FROM desat WHERE false"),
+    "detect_rea": query("SELECT subject, condition, 0::BIGINT AS n_events FROM lens"),
     "detect_des": query(f"SELECT {EV} FROM desat"),
     "detect_apn": query(f"SELECT {EV} FROM apn"),
     "detect_sig": query(f"SELECT {EV} FROM sig"),

@@ -26,10 +26,11 @@ LABELS = [
     (8, "Sigh", "Sig"),
 ]
 SHORT = [short for _, _, short in LABELS]
+LABEL = "idx int, long_name string, short_name string"
 
 
 def label_dictionary(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(LABELS, "idx int, long_name string, short_name string")
+    return spark.createDataFrame(LABELS, LABEL)
 
 
 def empty_events(spark: SparkSession) -> DataFrame:

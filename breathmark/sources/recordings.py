@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from breathmark.config import Config
-from breathmark.schema import CHANNELS, REC
+from breathmark.schema import CHANNELS, LABEL, LABELS, REC
 
+#: Splits up to which a row for each is broadcast, and the most that one task of a scan holds.
+SPLITS, FILES = 1_000_000, 64
 #: Names of files, or of the folders that they lie in, carry the recording's key; the last one counts.
 NAME = r".*Sub(\d+)_Pom(\d+)"
 
@@ -36,31 +38,47 @@ def read_recordings(spark: SparkSession, paths: str | list[str], layout: str = "
     then of the second, and so on. Fields are parted by white space or commas; what isn't a number is null. A file
     whose numbers don't fill six channels fails. Order within a file is the order of its lines. Two files of one
     subject and condition are an error, since nothing says which goes first.
+
+    A file is read in splits, by as many tasks as it has: each split numbers its own lines, or numbers, and starts from how many the splits
+    before it hold. So the files are read twice, the first time to be counted.
     """
     if layout not in ("wide", "channel_major"):
         raise ValueError(f"unknown layout {layout!r}")
-    named = spark.read.format("binaryFile").load(paths).select("path", *_key("path"))
-    twice = named.groupBy(*REC).agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")).where("n > 1").first()
-    if twice:
-        raise ValueError(f"{twice['n']} files of subject {twice['subject']}, condition {twice['condition']}, one of them {twice['path']}")
-    files = spark.read.text(paths, wholetext=True).select(
-        *_key("_metadata.file_path"),
-        F.col("value"),
-    )
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    lines = lines.where(F.trim("value") != "") if layout == "wide" else lines
+    fields = F.filter(F.split("value", r"[\s,]+"), lambda x: x != "")
+    items = lines.select("path", "at", fields.alias("f")) if layout == "wide" else lines.select("path", "at", F.explode(fields).alias("f"))
+    rows = _numbered(items)
     width = len(CHANNELS)
     if layout == "wide":
-        lines = files.select(*REC, F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "")).alias("k", "line"))
-        fields = F.split(F.trim("line"), r"[\s,]+")
-        checked = F.when(F.size(fields) == width, fields).otherwise(F.raise_error(F.lit("a line does not have six numbers")))
-        rows = lines.select(*REC, F.col("k").cast("long").alias("k"), checked.alias("f"))
+        checked = F.when(F.size("f") == width, F.col("f")).otherwise(F.raise_error(F.lit("a line does not have six numbers")))
+        rows = rows.select(*REC, "k", checked.alias("f"))
         return rows.select(*REC, "k", *[clean(F.col("f")[i].try_cast("double")).alias(c) for i, c in enumerate(CHANNELS)])
-    flat = files.select(*REC, F.filter(F.split("value", r"[\s,]+"), lambda x: x != "").alias("f"))
-    n = F.size("f") / width
-    whole = flat.withColumn("n", F.when(F.size("f") % width == 0, n.cast("long")).otherwise(F.raise_error(F.lit("numbers do not fill six channels"))))
-    rows = whole.select(*REC, "f", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    return rows.select(
-        *REC, "k", *[clean(F.get("f", (F.col("n") * i + F.col("k")).cast("int")).try_cast("double")).alias(c) for i, c in enumerate(CHANNELS)]
+    n = F.when(F.col("n") % width == 0, (F.col("n") / width).cast("long")).otherwise(F.raise_error(F.lit("numbers do not fill six channels")))
+    spread = rows.select(*REC, (F.col("k") % n).alias("at"), F.floor(F.col("k") / n).alias("channel"), clean(F.col("f").try_cast("double")).alias("x"))
+    return spread.groupBy(*REC, F.col("at").alias("k")).agg(*[F.max(F.when(F.col("channel") == i, F.col("x"))).alias(c) for i, c in enumerate(CHANNELS)])
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """``items`` of a text scan with their recording's key, their number ``k`` in the file and how many ``n`` it has.
+
+    A split's items stand together in the order of the scan's running ids. There is a row of some fifty bytes for each split; up to SPLITS of them are
+    broadcast, told by the scan's tasks, which hold FILES splits each at most.
+    """
+    items = items.withColumn("id", F.monotonically_increasing_id())
+    splits = items.groupBy("path", "at").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("size"))
+    keyed = splits.select(*_key("path"), "path", "at", "first", "size")
+    order = Window.partitionBy(*REC).orderBy("at")
+    whole = Window.partitionBy(*REC)
+    same = F.when(F.min("path").over(whole) == F.max("path").over(whole), F.lit(0)).otherwise(
+        F.raise_error(F.format_string("more than one file of subject %d, condition %d, one of them %s", *REC, F.min("path").over(whole)))
     )
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = keyed.select(*REC, F.xxhash64("path").alias("file"), F.col("at").alias("split"), (before - F.col("first") + same).alias("shift"), F.sum("size").over(whole).alias("n"))
+    if items.rdd.getNumPartitions() * FILES <= SPLITS:
+        starts = F.broadcast(starts)
+    found = items.join(starts, (F.xxhash64("path") == F.col("file")) & (F.col("at") == F.col("split")))
+    return found.select(*REC, (F.col("id") + F.col("shift")).alias("k"), "n", "f")
 
 
 def _key(path: str) -> list[Column]:
@@ -87,11 +105,16 @@ def with_channels(signals: DataFrame) -> DataFrame:
 
 
 def write_results(folder: str, tables: dict[str, DataFrame], config: Config) -> None:
-    """One Parquet table each, by recording, and the configuration as JSON."""
+    """One Parquet table each, by recording, and the configuration and the labels as JSON."""
     for name, df in tables.items():
         df.write.mode("overwrite").partitionBy(*REC).parquet(f"{folder}/{name}")
     spark = next(iter(tables.values())).sparkSession
     spark.createDataFrame([(config.to_json(),)], "config string").coalesce(1).write.mode("overwrite").text(f"{folder}/config")
+    spark.createDataFrame(LABELS, LABEL).coalesce(1).write.mode("overwrite").json(f"{folder}/labels")
+
+
+def read_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(LABEL).json(f"{folder}/labels")
 
 
 def read_results(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -76,16 +76,6 @@ def test_spacing_by_definition():
         assert np.flatnonzero(signal.spaced(k, h, 4)).tolist() == sorted(kept)
 
 
-def test_lows_by_definition():
-    rng = np.random.default_rng(2)
-    for _ in range(200):
-        low, low_k = rng.integers(0, 4, 20).astype(float), np.arange(0, 60, 3)
-        kept = np.flatnonzero(rng.random(20) < 0.4)
-        if len(kept) > 1:
-            want = [min(range(a + 1, b + 1), key=lambda i: (low[i], low_k[i])) for a, b in zip(kept, kept[1:], strict=False)]
-            assert signal.lows_between(kept, low, low_k).tolist() == want
-
-
 def test_breaths_over_missing_samples(spark):
     x = samples(spark, [0, 5, 1, None, 0.5, None, 2, 5, 3])
     rows = signal.breaths_of(x, signal.pick_peaks(signal.candidates(x), 1.5, 1), Config(fs=1, resp=Breathing(1, 1.5, 2, 0))).orderBy("peak_k").collect()

@@ -8,7 +8,7 @@ import pytest
 from breathmark.config import Breathing, Config
 from breathmark.plans import figures, pipeline
 from breathmark.plans.detectors import DETECTORS, Recordings
-from breathmark.schema import EVENTS, SIGNALS
+from breathmark.schema import EVENTS, LABELS, SIGNALS
 from breathmark.sources import recordings
 from breathmark.sources.recordings import read_recordings, write_recordings
 
@@ -138,8 +138,18 @@ def test_files_round_trip_and_one_file_a_recording(spark, tmp_path):
         want = [(*r[:4], None, None, r[6], None, 5.0) for r in rows]
         assert sorted(map(tuple, got.collect())) == want
     write_recordings(signals.where("subject = 1"), f"{tmp_path}/again")
-    with pytest.raises(ValueError, match="2 files of subject 1"):
-        read_recordings(spark, [f"{tmp_path}/wide/*", f"{tmp_path}/again/*"])
+    with pytest.raises(Exception, match="more than one file of subject 1, condition 1"):
+        read_recordings(spark, [f"{tmp_path}/wide/*", f"{tmp_path}/again/*"]).collect()
+
+
+def test_results_come_with_their_labels_and_odd_units_are_told(spark, tmp_path):
+    rows = [(k, 0.1 * math.sin(k), math.sin(k / 3), math.sin(k / 3)) for k in range(90 * FS)]
+    (tmp_path / recordings.file_name(5, 2)).write_text("\n".join(f"0 0 {s:.4f} {a:.4f} 0 {b:.4f}" for _, s, a, b in rows))
+    with pytest.warns(UserWarning, match="1 recordings have a median oxygen saturation outside"):
+        pipeline.run(spark, str(tmp_path / recordings.file_name(5, 2)), f"{tmp_path}/out", CONFIG)
+    assert sorted(map(tuple, recordings.read_labels(spark, f"{tmp_path}/out").collect())) == LABELS
+    config = spark.read.text(f"{tmp_path}/out/config").first()[0]
+    assert config == CONFIG.to_json()
 
 
 def test_spans_are_clipped_to_the_viewport(spark):
