@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from breathmark.operators.stretches import carried
+
 from .common import WORD, durable, quoted, text_or_empty
 
 #: Blocks that each source is dealt into, a power of two.
@@ -78,18 +80,19 @@ def _permutation(seed: int, source: str | None) -> tuple[int, int]:
     return drawn % BLOCKS | 1, drawn // BLOCKS % BLOCKS
 
 
-def choose(sizes: np.ndarray, left: int) -> np.ndarray:
-    """Which documents to take, in their order as long as they fit, so that their sizes come near ``left`` from below.
+def choose(sizes: np.ndarray, left: int, counts: np.ndarray | None = None) -> np.ndarray:
+    """How many of each document to take, of ``counts`` equal ones (one each), in their order as long as they fit, so that their sizes come near ``left`` from below.
 
     Then one taken document (or none) is changed for a larger one that still fits, the best such change each time.
     """
-    taken = np.zeros(len(sizes), bool)
-    for i, size in enumerate(sizes.tolist()):
+    counts = np.ones(len(sizes), np.int64) if counts is None else counts
+    taken = np.zeros(len(sizes), np.int64)
+    for i, (size, n) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
         if 0 < size <= left:
-            taken[i] = True
-            left -= size
+            taken[i] = min(n, left // size)
+            left -= int(taken[i]) * size
     for _ in range(SWAPS):
-        out = np.flatnonzero(~taken)
+        out = np.flatnonzero(taken < counts)
         if not left or not len(out):
             break
         out = out[np.argsort(sizes[out], kind="stable")]
@@ -101,9 +104,9 @@ def choose(sizes: np.ndarray, left: int) -> np.ndarray:
             break
         i = int(gain.argmax())
         left -= int(gain[i])
-        taken[out[best[i]]] = True
+        taken[out[best[i]]] += 1
         if have[i] >= 0:
-            taken[have[i]] = False
+            taken[have[i]] -= 1
     return taken
 
 
@@ -128,15 +131,20 @@ def _placed(rows: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-_PICKS = "_s string, _u long, _v long, _nr int, _size long"
+_PICKS = "_s string, _u long, _v long, _take long, _equal long, _size long"
 
 
 def _tried(group: pd.DataFrame) -> pd.DataFrame:
-    """Which rows of one source to take so that their sizes come near ``_left``; rows that repeat one are numbered."""
+    """How many of each of one source's rows to take so that their sizes come near ``_left``; ``_equal`` rows are one here."""
     group = group.sort_values(["_p", "_u", "_v", "_size"], kind="stable")
-    group = group.assign(_nr=(group.groupby(["_u", "_v"]).cumcount() + 1).astype(np.int32))
-    chosen = choose(group["_size"].to_numpy(), int(group["_left"].iloc[0]))
-    return group.loc[chosen, ["_s", "_u", "_v", "_nr", "_size"]]
+    group = group.assign(_take=choose(group["_size"].to_numpy(), int(group["_left"].iloc[0]), group["_equal"].to_numpy()))
+    return group.loc[group["_take"] > 0, ["_s", "_u", "_v", "_take", "_equal", "_size"]]
+
+
+def _picked(rows: DataFrame) -> DataFrame:
+    """What _tried takes of ``rows``, source by source, once those that are equal have been counted by tasks."""
+    own = ["_s", "_u", "_v", "_p", "_size", "_left"]
+    return rows.groupBy(*own).agg(F.count(F.lit(1)).alias("_equal")).groupBy("_s").applyInPandas(_tried, _PICKS)
 
 
 def _zones(small: DataFrame, rest: dict) -> dict:
@@ -202,9 +210,8 @@ def _plan(slim: DataFrame, weights: Sequence[float], limit: int, shards: int, se
         words = big_words.get(s, 0)
         share[s] = max(rest - (size - words), rest * words // size if size else 0)
     quota = spark.createDataFrame(list(share.items()), "_qs string, _left long")
-    big = big.join(F.broadcast(quota), F.col("_s").eqNullSafe(F.col("_qs"))).select("_s", "_u", "_v", "_p", "_size", "_left")
-    picks = durable(big.groupBy("_s").applyInPandas(_tried, _PICKS))
-    taken = {r["_s"]: r["_w"] for r in picks.groupBy("_s").agg(F.sum("_size").alias("_w")).collect()}
+    picks = durable(_picked(big.join(F.broadcast(quota), F.col("_s").eqNullSafe(F.col("_qs")))))
+    taken = {r["_s"]: r["_w"] for r in picks.groupBy("_s").agg(F.sum(F.col("_size") * F.col("_take")).alias("_w")).collect()}
 
     again, left = {}, {}  # where large ones don't fill the quota, the small ones are taken once or twice more
     for s, size, _, _, _, whole, rest in rows:
@@ -221,8 +228,14 @@ def _plan(slim: DataFrame, weights: Sequence[float], limit: int, shards: int, se
         full.append((*r, again.get(r[0], 0), lo, hi, left.get(r[0], 0) - gone, [0, *starts[:-1, i].tolist()]))
     plan = spark.createDataFrame(full, f"{shape}, _again int, _lo long, _hi long, _left long, _starts array<long>")
     tail = _placed(slim, plan).where((F.col("_rest") > 0) & ~is_big & (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi")))
-    tail = tail.select("_s", "_u", "_v", "_p", "_size", "_left").groupBy("_s").applyInPandas(_tried, _PICKS)
-    return plan, durable(picks.union(tail)), round(sum(target.values()))
+    return plan, durable(picks.union(_picked(tail))), round(sum(target.values()))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_nr``: equal ones are numbered, by tasks and by how many the tasks before have, so that none of them sees all."""
+    placed = rows.select(F.struct(*rows.columns).alias("row"), F.coalesce(F.concat(F.lit("s"), F.col("_s")), F.lit("")).alias("s"), "_u", "_v")
+    placed = placed.withColumnsRenamed({"_u": "u", "_v": "v"}).withColumn("at", F.monotonically_increasing_id()).withColumn("task", F.shiftrightunsigned("at", 33))
+    return carried(placed, ["s", "u", "v"], "task", ["at"], before=("sum", F.lit(1))).select("row.*", (F.col("before") + 1).alias("_nr"))
 
 
 def _copied(rows: DataFrame, plan: DataFrame, picks: DataFrame) -> DataFrame:
@@ -231,10 +244,14 @@ def _copied(rows: DataFrame, plan: DataFrame, picks: DataFrame) -> DataFrame:
     placed = _placed(rows, plan).withColumn("_whole", F.col("_whole") + F.when(big, 0).otherwise(F.col("_again")))
     alone = big | (F.col("_p") >= F.col("_lo")) & (F.col("_p") < F.col("_hi"))
     sure = placed.where(~alone).withColumn("_more", (F.col("_p") < F.col("_lo")).cast("int"))
-    nr = F.row_number().over(Window.partitionBy("_s", "_u", "_v").orderBy("_size"))
-    chosen = picks.select(F.col("_s").alias("_cs"), F.col("_u").alias("_cu"), F.col("_v").alias("_cv"), F.col("_nr").alias("_cn"))
-    same = F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_u") == F.col("_cu")) & (F.col("_v") == F.col("_cv")) & (F.col("_nr") == F.col("_cn"))
-    tried = placed.where(alone).withColumn("_nr", nr).join(chosen, same, "left").withColumn("_more", F.col("_cn").isNotNull().cast("int"))
+    chosen = picks.select(F.col("_s").alias("_cs"), F.col("_u").alias("_cu"), F.col("_v").alias("_cv"), "_take", "_equal")
+    same = F.col("_s").eqNullSafe(F.col("_cs")) & (F.col("_u") == F.col("_cu")) & (F.col("_v") == F.col("_cv"))
+    tried = placed.where(alone).join(chosen, same, "left")
+    some = F.coalesce(F.col("_take") < F.col("_equal"), F.lit(False))  # of equal rows only so many: these are numbered
+    tried = (
+        tried.where(~some).withColumn("_more", F.col("_take").isNotNull().cast("int"))
+        .unionByName(_numbered(tried.where(some)).withColumn("_more", (F.col("_nr") <= F.col("_take")).cast("int")).drop("_nr"))
+    )
     whole, copies = F.col("_whole"), F.col("_whole") + F.col("_more")
     at = lambda e: F.when(e <= whole, (e - 1) * BLOCKS + F.col("_block")).otherwise(whole * BLOCKS + F.col("_block"))
     shard = F.transform(F.sequence(F.lit(1), copies), lambda e: F.size(F.filter("_starts", lambda x: x <= at(e))) - 1)
@@ -265,7 +282,7 @@ def mix_sources(
     place, and those of over 1 / BIG of the source's words, are tried one by one. Block quotas fall to shards by
     ``split_quotas``; a shard's blocks are the next ones by place, so shards are disjoint. The text is read once; sizes are
     kept (some 40 bytes a row). The driver holds one row per source, as the weights do, and no task gets more of a source
-    than some BIG or ZONE of its rows. ``draw`` gives the mix itself.
+    than some BIG or ZONE of its distinct rows; rows that repeat another are counted, and numbered by tasks where only some of them are taken. ``draw`` gives the mix itself.
     """
     slim = durable(df.select(F.col(id_col).alias("_id"), *_slim(df, id_col, text_col, source_col, seed)))
     plan, picks, _ = _plan(slim, weights, limit, shards, seed)
