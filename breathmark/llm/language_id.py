@@ -22,6 +22,8 @@ CHAIN = 256
 TOGETHER, PART = 1 << 17, 1 << 19
 #: Documents of each language that the model is fitted on at most, and their longest text.
 SAMPLE, SAMPLE_CHARS = 200, 100_000
+#: Documents of the sample in all, and languages that are learned at most: the most frequent ones.
+TOTAL, LABELS = 20_000, 1_000
 #: Times a word is seen in the sample, and the share of them in one language, from which it enters the lexicon.
 LEXICON_COUNT, LEXICON_SHARE = 3, 0.9
 
@@ -254,22 +256,26 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, batch: int = 4000,
 
 
 def fit_on(df: DataFrame, usable: Column, id_col: str, text_col: str, label_col: str) -> Model | None:
-    """A model fitted on a bounded sample of the rows where ``usable``: SAMPLE documents of each language, by hash.
+    """A model fitted on a bounded sample of the rows where ``usable``: SAMPLE documents of each language, by hash, and TOTAL in all.
 
-    Rows without a language or a letter, or longer than SAMPLE_CHARS, are not in the sample. None without any.
+    Rows without a language or a letter, or longer than SAMPLE_CHARS, are not in the sample. None without any. More languages share TOTAL; of more than LABELS
+    the most frequent ones are learned.
     """
     good = usable & F.col(label_col).isNotNull() & (F.length(text_col) <= SAMPLE_CHARS) & F.col(text_col).rlike(r"\p{L}")
     rows = df.where(good).select(
         F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"),
         F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 30)).alias("h"),
     )
-    counts = rows.groupBy("label").count().collect()
+    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(LABELS).collect()
     if not counts:
         return None
+    share = min(SAMPLE, TOTAL // len(counts))
     # Twice the sample by hash, of which the least hashes stay; where that is too few by chance, fewer do.
-    bounds = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], int((1 << 30) * min(1.0, 2 * SAMPLE / r["count"])))])
+    bounds = [(r["label"], int((1 << 30) * min(1.0, 2 * share / r["count"]))) for r in counts]
+    bounds = df.sparkSession.createDataFrame(bounds, "known string, most long")
     first = Window.partitionBy("label").orderBy("h", "text")
-    sample = rows.where(F.col("h") < bounds[F.col("label")]).withColumn("r", F.row_number().over(first)).where(F.col("r") <= SAMPLE)
+    sample = rows.join(F.broadcast(bounds), F.col("label") == F.col("known")).where(F.col("h") < F.col("most"))
+    sample = sample.withColumn("r", F.row_number().over(first)).where(F.col("r") <= share)
     taken = sorted((r["label"], r["text"]) for r in sample.select("label", "text").collect())
     return fit([t for _, t in taken], [x for x, _ in taken])
 
