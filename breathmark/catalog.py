@@ -51,7 +51,7 @@ def _smooth(r: Recordings) -> DataFrame:
 
 
 def _proms(r: Recordings) -> DataFrame:
-    return signal.pick_peaks(signal.candidates(_smooth(r)), float("-inf"), None)
+    return signal.pick_peaks(signal.smooth_candidates(r.signals, C), float("-inf"), None)
 
 
 def _slow_runs(r: Recordings) -> DataFrame:
@@ -144,7 +144,7 @@ QUERIES = {
     "local_maxima": _on(lambda r: signal.local_maxima(_smooth(r)).select(*KEY, "k", F.round("x0", 6).alias("h"))),
     "peak_prominence": _on(lambda r: _proms(r).select(*KEY, "k", *r6("h", "prominence"))),
     "peak_distance_nms": _on(
-        lambda r: signal.pick_peaks(signal.candidates(_smooth(r)), C.resp.min_peak_prom, C.peak_dist_rows).select(*KEY, "k")
+        lambda r: signal.pick_peaks(signal.smooth_candidates(r.signals, C), C.resp.min_peak_prom, C.peak_dist_rows).select(*KEY, "k")
     ),
     "breath_table": _on(
         lambda r: r.all_breaths.select(*KEY, "breath_no", "peak_k", *r6("peak_val"), "trough_k", *r6("trough_val", "amp", "ibi_s", "rr_bpm"))
@@ -191,7 +191,7 @@ QUERIES = {
     "detect_rea": _on(lambda r: pipeline.recording_counts(detectors.detect_asynchrony(r), r.lengths)),
     "pipeline_events": _on_shared(pipeline.pipeline_events),
     "event_sample_mask": _on(lambda r: intervals.event_sample_mask(r.desat, r.signals, C)),
-    "sample_mask": _on_shared(lambda r: intervals.sample_mask(r.signals, pipeline.pipeline_events(r))),
+    "sample_mask": _on_shared(lambda r: intervals.sample_mask(r.signals, durable(pipeline.pipeline_events(r)))),
     "label_order": _on_shared(lambda r: intervals.label_order(pipeline.pipeline_events(r))),
     "label_cube": _on_shared(lambda r: pipeline.label_cube(pipeline.pipeline_events(r))),
 }

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from breathmark.config import Config
 from breathmark.operators.stretches import STRETCH, carried, dealt, medians
 from breathmark.schema import BELTS, REC
-from breathmark.sources.storage import durable
 
 KEY = [*REC, "segment", "belt"]
-#: Stretches, or candidates, that are looked at together on the second level.
-BLOCK = 4096
+#: Samples whose candidates are looked at together, and distances in which groups of peaks begin that are.
+BLOCK = 32768
 
 
 def head_segment(signals: DataFrame, config: Config) -> DataFrame:
@@ -105,34 +104,39 @@ def _view(samples: DataFrame, stretch: int) -> DataFrame:
 
 
 def _candidates(view: DataFrame, stretch: int) -> DataFrame:
-    """Candidates from samples in stretches. What a stretch can't know is settled on rows of parts, which are written first: samples are read once."""
-    parts = durable(_parts(view, stretch)).withColumn("block", F.floor(F.col("stretch") / BLOCK))
-    place = ["stretch", "piece"]
-    parts = carried(parts, KEY, "block", place, after=("next", F.col("first.x0")))
-    high = F.coalesce(F.col("top.k").isNotNull() & (~F.col("top.open") | (F.col("top.x0") > F.col("after"))), F.lit(False))
-    parts = parts.withColumn("high", high)
-    parts = carried(parts, KEY, "block", place, part=("sum", F.col("high").cast("long")))
-    merged = parts.groupBy(*KEY, "part").agg(F.min("least").alias("least"), F.max(F.when(F.col("high"), F.struct("top.k", F.col("top.x0").alias("h")))).alias("top"))
-    # Each part's least is also what lies after the maximum of the part before it.
-    own = F.struct("part", "least", "top", F.lit(None).cast("double").alias("tail"))
-    other = F.struct((F.col("part") - 1).alias("part"), *[F.lit(None).cast(merged.schema[c].dataType).alias(c) for c in ("least", "top")], F.col("least.x0").alias("tail"))
-    both = merged.select(*KEY, F.inline(F.array(own, other))).groupBy(*KEY, "part").agg(F.max("least").alias("least"), F.max("top").alias("top"), F.max("tail").alias("tail"))
-    return both.where(F.col("top").isNotNull()).select(
-        *KEY, "part", "top.k", "top.h", F.col("least.x0").alias("low"), F.col("least.k").alias("low_k"), "tail"
-    )
+    """Candidates from samples in stretches, and a last row without a place for what lies after the last of them.
+
+    Only the first and the last part of a stretch, which may go on in the next, meet by recording and belt; all others are settled in their stretch.
+    """
+    parts = _parts(view, stretch)
+    settled = (F.col("piece") > 0) & F.col("top.k").isNotNull() & ~F.col("top.open")
+    parts = parts.withColumn("part", F.when(settled, F.col("stretch")))
+    order = Window.partitionBy(*KEY, "part").orderBy("stretch", "piece")
+    # Of a flat top at the end of a stretch the next value that differs decides.
+    high = F.col("top.k").isNotNull() & (~F.col("top.open") | (F.col("top.x0") > F.lead("first.x0").over(order)))
+    parts = parts.withColumn("high", F.coalesce(high, F.lit(False)))
+    closed = F.sum(F.col("high").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    merged = parts.withColumn("group", F.coalesce(closed, F.lit(0))).groupBy(*KEY, "part", "group")
+    found = merged.agg(F.min("least").alias("least"), F.max(F.when(F.col("high"), F.struct("top.k", F.col("top.x0").alias("h")))).alias("top"))
+    return found.select(*KEY, "top.k", "top.h", F.col("least.x0").alias("low"), F.col("least.k").alias("low_k"))
 
 
 def candidates(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """Local maxima of ``x0``, numbered (``part``), with ``low``, the least value since the one before, at ``low_k`` first, and ``tail``, the least up to the next.
+    """Local maxima of ``x0`` with ``low``, the least value since the one before, at ``low_k`` first; one row more, without ``k``, has the least after the last.
 
     A flat top counts once, at its first sample. First and last runs and neighbours of missing samples are none.
     """
     return _candidates(_view(samples, stretch), stretch)
 
 
+def smooth_candidates(signals: DataFrame, config: Config, stretch: int = STRETCH) -> DataFrame:
+    """The candidates of smoothed belts, from the stretches in which they are smoothed."""
+    return _candidates(_smooth_view(signals, config, stretch), stretch)
+
+
 def local_maxima(samples: DataFrame, stretch: int = STRETCH) -> DataFrame:
     """The place ``k`` and height ``x0`` of each local maximum."""
-    return candidates(samples, stretch).select(*KEY, "k", F.col("h").alias("x0"))
+    return candidates(samples, stretch).where(F.col("k").isNotNull()).select(*KEY, "k", F.col("h").alias("x0"))
 
 
 def least_up_to_higher(h: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,79 +183,83 @@ def spaced(k: np.ndarray, h: np.ndarray, distance: int) -> np.ndarray:
     return keep
 
 
-_CANDIDATE = "subject int, condition int, segment string, belt string, part long, k long, h double, low double, low_k long, tail double"
+_CANDIDATE = "subject int, condition int, segment string, belt string, k long, h double, low double, low_k long"
 
 
 def with_prominence(cands: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Candidates with their ``prominence``, in two levels: blocks of ``block`` candidates, then what blocks couldn't settle.
+    """Candidates with their ``prominence``, in two levels: blocks of ``block`` samples, then what blocks couldn't settle.
 
     A block settles each side of a candidate on which it holds a higher one. What is left over, and all that other blocks can run into, are candidates that are
     highest so far from one end of their block, some of a hundred in waves; those between leave the least of their lows to the next one, and the shorter sequence is
     gone through in the same way. (Heights that rise all along leave all.)
     """
-    shape = f"{_CANDIDATE}, prominence double, lft double, rgt double, gap double"
+    numbers = ["prominence", "lft", "rgt", "gap"]
+    shape = f"{_CANDIDATE}, block long, " + ", ".join(f"{c} double" for c in numbers)
 
     def first(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("k", ignore_index=True)
-        low, h = group["low"].to_numpy(), group["h"].to_numpy()
-        tail = group["tail"].iloc[-1]
-        left, left_found, right, right_found = _sides(h, low, np.inf if pd.isna(tail) else tail)
+        if pd.isna(group["block"].iloc[0]):  # what lies after the last candidate
+            return group.assign(prominence=np.nan, lft=np.nan, rgt=np.nan, gap=group["low"].astype(float))
+        low, h = group["low"].to_numpy(float), group["h"].to_numpy(float)
+        left, left_found, right, right_found = _sides(h, low, np.inf)
         kept = ~(left_found & right_found)
-        gaps = np.minimum.reduceat(low, np.append(0, np.flatnonzero(kept)[:-1] + 1)) if kept.any() else low[:0]
-        group["prominence"] = np.where(kept, np.nan, h - np.maximum(left, right))
-        group["lft"], group["rgt"] = np.where(left_found, left, np.nan), np.where(right_found, right, np.nan)
-        group["gap"] = np.nan
-        group.loc[kept, "gap"] = gaps
-        return group.drop(columns="block")
+        gaps = np.full(len(h), np.nan)
+        gaps[kept] = np.minimum.reduceat(low, np.append(0, np.flatnonzero(kept)[:-1] + 1))
+        values = (np.where(kept, np.nan, h - np.maximum(left, right)), np.where(left_found, left, np.nan), np.where(right_found, right, np.nan), gaps)
+        return group.assign(**dict(zip(numbers, values, strict=True)))
 
     def second(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k", ignore_index=True)
-        tail = group["tail"].iloc[-1]
-        left, _, right, _ = _sides(group["h"].to_numpy(), group["gap"].to_numpy(), np.inf if pd.isna(tail) else tail)
-        left, right = group["lft"].fillna(pd.Series(left)), group["rgt"].fillna(pd.Series(right))
-        return group.assign(prominence=group["h"] - np.maximum(left, right))
-
-    one = durable(cands.select(*KEY, "part", "k", "h", "low", "low_k", "tail", F.floor(F.col("part") / block).alias("block")).groupBy(*KEY, "block").applyInPandas(first, shape))
-    settled = F.col("prominence").isNotNull() & ~F.isnan("prominence")
-    rest = one.where(~settled).groupBy(*KEY).applyInPandas(second, shape)
-    return one.where(settled).unionByName(rest).drop("lft", "rgt", "gap")
-
-
-def _spaced_out(peaks: DataFrame, distance: int) -> DataFrame:
-    """Peaks thinned to ``distance`` in independent groups: where neighbours are further apart, no peak deletes one of the other group.
-
-    Many groups go to one task, those that begin within the same BLOCK distances; a group is never cut.
-    """
-    order = Window.partitionBy(*KEY).orderBy("k")
-    before = F.lag("k").over(order)
-    starts = peaks.withColumn("start", F.when(before.isNull() | (F.col("k") - before > distance), F.col("k")))
-    groups = starts.withColumn("start", F.last("start", ignorenulls=True).over(order)).withColumn("some", F.floor(F.col("start") / (BLOCK * (distance + 1))))
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("k", ignore_index=True)
-        return group[spaced(group["k"].to_numpy(), group["h"].to_numpy(), distance)][[*KEY, "k"]]
-
-    return groups.groupBy(*KEY, "some").applyInPandas(pick, "subject int, condition int, segment string, belt string, k long")
+        if group["part"].notna().iloc[0]:
+            return group
+        group = group.sort_values("k", ignore_index=True, na_position="last")
+        h, gap = group["h"].to_numpy(float), group["gap"].to_numpy(float)
+        n = len(h) - int(pd.isna(group["k"].iloc[-1]))
+        if not n:
+            return group
+        tail = gap[n] if n < len(h) and not np.isnan(gap[n]) else np.inf
+        left, _, right, _ = _sides(h[:n], gap[:n], tail)
+        own = group.iloc[:n]
+        left, right = np.where(own["lft"].isna(), left, own["lft"]), np.where(own["rgt"].isna(), right, own["rgt"])
+        group.loc[: n - 1, "prominence"] = h[:n] - np.maximum(left, right)
+        return group
+
+    rows = cands.select(*KEY, "k", "h", "low", "low_k", F.floor(F.col("k") / block).alias("block"))
+    one = rows.groupBy(*KEY, "block").applyInPandas(first, shape)
+    open_rows = F.col("prominence").isNull() | F.isnan("prominence")
+    one = one.withColumn("part", F.when(~open_rows, F.col("block")))
+    return one.groupBy(*KEY, "part").applyInPandas(second, f"{shape}, part long").select(*KEY, "k", "h", "low", "low_k", "prominence")
 
 
 def pick_peaks(cands: DataFrame, min_prominence: float, distance: int | None) -> DataFrame:
     """Candidates that stand out by ``min_prominence``, then thinned to ``distance`` samples; None leaves them.
 
-    ``low_val`` at ``low_k``: the least value up to the next peak, at the last one up to the last candidate. Only candidates reach Python.
+    ``low_val`` at ``low_k``: the least value up to the next peak, at the last one up to the end. Peaks are thinned in independent groups: where neighbours are
+    further apart, no peak deletes one of the other group. Many groups go to one task, those that begin within the same BLOCK distances; a group is never cut.
     """
-    rated = durable(with_prominence(cands))
-    found = rated.where(F.col("prominence") >= min_prominence)
-    if distance is not None:
-        found = _spaced_out(found, distance)
-    names = [F.col(c).alias(f"kept_{c}") for c in (*KEY, "k")]
-    same = [F.col(c) == F.col(f"kept_{c}") for c in (*KEY, "k")]
-    marked = rated.join(found.select(*names), same, "left")
+    order = Window.partitionBy(*KEY).orderBy(F.col("k").asc_nulls_last())
+    rated = with_prominence(cands).withColumn("stands", F.coalesce(F.col("prominence") >= min_prominence, F.lit(False)))
+    if distance is None:
+        rated = rated.withColumn("kept", F.col("stands"))
+    else:
+        before = F.last(F.when(F.col("stands"), F.col("k")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+        starts = F.when(F.col("stands") & (F.col("before").isNull() | (F.col("k") - F.col("before") > distance)), F.col("k"))
+        rated = rated.withColumn("before", before).withColumn("start", starts)
+        start = F.last("start", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        rated = rated.withColumn("some", F.floor(start / (BLOCK * (distance + 1)))).drop("before", "start")
+
+        def pick(group: pd.DataFrame) -> pd.DataFrame:
+            own = group[group["stands"]].sort_values("k")
+            near = own["k"][spaced(own["k"].to_numpy(), own["h"].to_numpy(float), distance)]
+            return group.assign(kept=group["k"].isin(near) & group["stands"])
+
+        rated = rated.groupBy(*KEY, "some").applyInPandas(pick, f"{_CANDIDATE}, prominence double, stands boolean, some long, kept boolean")
     # A low belongs to the last peak before its candidate.
-    before = Window.partitionBy(*KEY).orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
-    marked = marked.withColumn("peak", F.last("kept_k", ignorenulls=True).over(before))
-    lows = marked.where(F.col("peak").isNotNull() & F.col("low").isNotNull()).groupBy(*KEY, F.col("peak").alias("k")).agg(F.min(F.struct("low", "low_k")).alias("least"))
-    kept = marked.where(F.col("kept_k").isNotNull()).select(*KEY, "k", "h", "prominence")
-    return kept.join(lows, [*KEY, "k"], "left").select(*KEY, "k", "h", "prominence", F.col("least.low").alias("low_val"), F.col("least.low_k").alias("low_k"))
+    peak = F.last(F.when(F.col("kept"), F.col("k")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    low = F.struct(peak.alias("k"), F.when(F.col("low").isNotNull(), F.struct("low", "low_k")).alias("least"), F.lit(None).cast("struct<h: double, prominence: double>").alias("own"))
+    own = F.struct(F.when(F.col("kept"), F.col("k")).alias("k"), F.lit(None).cast("struct<low: double, low_k: bigint>").alias("least"), F.struct("h", "prominence").alias("own"))
+    both = rated.select(*KEY, F.array(low, own).alias("both")).select(*KEY, F.inline("both")).where(F.col("k").isNotNull())
+    found = both.groupBy(*KEY, "k").agg(F.max("own").alias("own"), F.min("least").alias("least"))
+    return found.select(*KEY, "k", "own.h", "own.prominence", F.col("least.low").alias("low_val"), F.col("least.low_k").alias("low_k"))
 
 
 def breath_table(signals: DataFrame, config: Config, stretch: int = STRETCH) -> DataFrame:
