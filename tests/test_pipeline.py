@@ -4,6 +4,7 @@ import math
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from breathmark.config import Breathing, Config
 from breathmark.plans import figures, pipeline
@@ -122,6 +123,35 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, spark.table("desats").collect())) == sorted(map(tuple, desaturations(df, CONFIG).collect()))
 
 
+def test_late_stream_equals_batch(spark, tmp_path):
+    from breathmark.operators.signal import spo2_baseline
+    from breathmark.plans.detectors import desaturations
+    from breathmark.streaming.desaturation import flagged, late_desaturation_stream
+
+    pytest.importorskip("google.protobuf")
+    df = signals(spark, breathe(70) + breathe(20, spo2=80) + breathe(10), breathe(65) + breathe(12, spo2=90) + breathe(5)).select("subject", "condition", "k", "spo2")
+    df = df.withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("k") * (1000 // FS)))
+    # Batches overlap in time by five seconds: samples are dealt to one of two, some come twice; the last one is an hour on.
+    late = F.when(F.pmod(F.xxhash64("k"), F.lit(3)) == 0, F.least(F.floor((F.col("k") + 20) / 60), F.lit(6))).otherwise(F.floor(F.col("k") / 60))
+    dealt = df.withColumn("part", late).union(df.where("k % 50 = 0").withColumn("part", F.floor(F.col("k") / 60)))
+    end = df.groupBy("subject", "condition").agg((F.max("k") + 3600 * FS).alias("k"), F.lit(97.0).alias("spo2"))
+    dealt = dealt.union(end.select("subject", "condition", "k", "spo2", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("k") * (1000 // FS)).alias("ts"), F.lit(9).alias("part")))
+    for i in range(10):
+        dealt.where(F.col("part") == i).drop("part").orderBy(F.rand(i)).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    conf = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{tmp_path}/in")
+        flags = flagged(stream, spo2_baseline(df, CONFIG).select("subject", "condition", "spo2_median"), CONFIG)
+        query = late_desaturation_stream(flags, CONFIG, "20 seconds").writeStream.format("memory").queryName("late_desats").option(
+            "checkpointLocation", f"{tmp_path}/cp"
+        ).trigger(availableNow=True).start()
+        query.awaitTermination(240)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", conf)
+    assert sorted(map(tuple, spark.table("late_desats").collect())) == sorted(map(tuple, desaturations(df, CONFIG).collect()))
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
