@@ -20,8 +20,7 @@ STRETCH = 64
 
 
 def _by_stretch(rows: DataFrame) -> DataFrame:
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(tasks, *BELT, "stretch")
+    return stretches.spread(rows, *BELT, "stretch")
 
 
 class SlidingMedian:
@@ -82,7 +81,7 @@ def sliding_median(rows: DataFrame, group: list[str], at: str, value: str, low:
 
 def trailing_median(rows: DataFrame, key: list[str], at: str, value: str, reach: int, stretch: int = stretches.STRETCH) -> DataFrame:
     """Every row with the exact ``median`` of ``value`` over the rows of its key from ``reach`` positions before it up to it."""
-    view = stretches.dealt(rows, at, max(stretch, reach), before=reach)
+    view = stretches.spread(stretches.dealt(rows, at, max(stretch, reach), before=reach), *key, "stretch")
     return sliding_median(view, [*key, "stretch"], at, value, -reach, 0, F.col("own")).drop("stretch", "own")
 
 

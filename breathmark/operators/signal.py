@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from breathmark.config import Config
-from breathmark.operators.stretches import STRETCH, carried, dealt, medians
+from breathmark.operators.stretches import STRETCH, carried, dealt, medians, spread
 from breathmark.schema import BELTS, REC
 
 KEY = [*REC, "segment", "belt"]
@@ -40,7 +40,7 @@ def _centred(samples: DataFrame, before: int, after: int, stretch: int) -> DataF
     middle = medians(samples, KEY, "x", last=F.col("k"))
     stretches = F.sequence(F.lit(0).cast("long"), F.floor((F.col("last") + before) / F.lit(stretch)))
     middle = middle.select(*KEY, "median", F.explode(stretches).alias("stretch"))
-    rows = dealt(samples.select(*KEY, "k", "x"), "k", stretch, before, after).repartition(*KEY, "stretch")
+    rows = spread(dealt(samples.select(*KEY, "k", "x"), "k", stretch, before, after), *KEY, "stretch")
     return rows.join(middle, [*KEY, "stretch"], "left").withColumn("x", F.col("x") - F.col("median")).drop("median")
 
 
@@ -59,7 +59,7 @@ def _averaged(view: DataFrame, rows: int) -> DataFrame:
 
 def moving_mean(samples: DataFrame, rows: int, stretch: int = STRETCH) -> DataFrame:
     """``x0``: the mean of ``rows`` samples, of an even number one more before than after; fewer at the ends."""
-    view = dealt(samples, "k", stretch, rows // 2, max(0, rows - 1 - rows // 2)).repartition(*KEY, "stretch")
+    view = spread(dealt(samples, "k", stretch, rows // 2, max(0, rows - 1 - rows // 2)), *KEY, "stretch")
     return _averaged(view, rows).where("own").select(*samples.columns, "x0")
 
 
@@ -100,7 +100,7 @@ def _parts(view: DataFrame, stretch: int) -> DataFrame:
 
 
 def _view(samples: DataFrame, stretch: int) -> DataFrame:
-    return dealt(samples, "k", stretch, 1, 1).repartition(*KEY, "stretch")
+    return spread(dealt(samples, "k", stretch, 1, 1), *KEY, "stretch")
 
 
 def _candidates(view: DataFrame, stretch: int) -> DataFrame:
@@ -224,7 +224,7 @@ def with_prominence(cands: DataFrame, block: int = BLOCK) -> DataFrame:
         return group
 
     rows = cands.select(*KEY, "k", "h", "low", "low_k", F.floor(F.col("k") / block).alias("block"))
-    one = rows.groupBy(*KEY, "block").applyInPandas(first, shape)
+    one = spread(rows, *KEY, "block").groupBy(*KEY, "block").applyInPandas(first, shape)
     open_rows = F.col("prominence").isNull() | F.isnan("prominence")
     one = one.withColumn("part", F.when(~open_rows, F.col("block")))
     return one.groupBy(*KEY, "part").applyInPandas(second, f"{shape}, part long").select(*KEY, "k", "h", "low", "low_k", "prominence")

@@ -22,6 +22,11 @@ def dealt(rows: DataFrame, at: str, size: int = STRETCH, before: int = 0, after:
     return rows.withColumn("stretch", F.explode(seen)).withColumn("own", F.col("stretch") == home)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt by ``keys`` to as many tasks as the session has shuffle partitions, however few bytes they are: for little data that is much work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def carried(rows: DataFrame, key: Sequence[str], block: str, order: Sequence[str], **wanted: tuple[str, Column]) -> DataFrame:
     """``rows`` with columns that look along the whole of their ``key``, though each task only sees blocks of it.
 
