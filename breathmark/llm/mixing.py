@@ -81,11 +81,13 @@ def _permutation(seed: int, source: str | None) -> tuple[int, int]:
 
 
 def choose(sizes: np.ndarray, left: int, counts: np.ndarray | None = None) -> np.ndarray:
-    """How many of each document to take, of ``counts`` equal ones (one each), in their order as long as they fit, so that their sizes come near ``left`` from below.
+    """Which documents to take, in their order as long as they fit, so that their sizes come near ``left`` from below.
 
-    Then one taken document (or none) is changed for a larger one that still fits, the best such change each time.
+    Then one taken document (or none) is changed for a larger one that still fits, the best such change each time. With ``counts``, how many equal ones there
+    are of each: how many to take.
     """
-    counts = np.ones(len(sizes), np.int64) if counts is None else counts
+    if counts is None:
+        return choose(sizes, left, np.ones(len(sizes), np.int64)).astype(bool)
     taken = np.zeros(len(sizes), np.int64)
     for i, (size, n) in enumerate(zip(sizes.tolist(), counts.tolist(), strict=True)):
         if 0 < size <= left:
