@@ -263,3 +263,34 @@ def test_files_in_many_splits(spark, tmp_path):
             read_recordings(spark, str(tmp_path / "wide")).collect()
     finally:
         spark.conf.set(name, before)
+
+
+def test_recordings_are_written_in_parts_and_numbered_by_hours(spark, tmp_path):
+    from breathmark.schema import SIGNALS
+    from breathmark.sources.adapter import signals_from_events
+    from breathmark.sources.recordings import write_recordings
+
+    rows = [(s, 1, k, float(k), None, None, -float(k), None, 5.0) for s in (1, 22) for k in range(25)]
+    signals = spark.createDataFrame(rows, SIGNALS)
+    for layout in ("wide", "channel_major"):
+        write_recordings(signals, f"{tmp_path}/{layout}", layout, 2)
+        assert len(list((tmp_path / layout).glob("*Sub22_Pom1*-part*/*.txt"))) == 13 * (1 if layout == "wide" else 6)
+        assert sorted(map(tuple, read_recordings(spark, f"{tmp_path}/{layout}/*", layout).collect())) == rows
+    write_recordings(signals, f"{tmp_path}/again", "wide", 2)
+    with pytest.raises(Exception, match="more than one file"):
+        read_recordings(spark, [f"{tmp_path}/wide/*", f"{tmp_path}/again/*"], "wide").collect()
+
+    # Hours of none, one, two and many samples; times and numbers that are missing.
+    hours = [0, 0, 0, 2, 3, 3, 5, 7, 8, 8, 8, 8, None]
+    events = [(i, None if h is None else 3600.0 * h + 0.1 * (i % 5), "click" if i % 13 else None, 0.5 * i, None if i in (4, 7) else f'{{"k": {3 * i}}}') for i, h in enumerate(hours)]
+    df = spark.createDataFrame(events, "event_id long, s double, event_type string, value double, props string").withColumn("ts", F.timestamp_millis((F.col("s") * 1000).cast("long")))
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["subject"], r["k"]): (r["spo2"], r["resp_l"]) for r in signals_from_events(spark, str(tmp_path)).collect()}
+    want = {}
+    for subject in (0, 1):
+        own = sorted((e for e in events if (e[2] == "click") == bool(subject)), key=lambda e: (e[1] is None, e[1] or 0.0, e[0]))
+        digits = [None if e[4] is None else 3 * e[0] for e in own]
+        for k, e in enumerate(own):
+            near = [d for d in digits[max(0, k - 2) : k + 2] if d is not None]
+            want[subject, k] = (100.0 - sum(near) / (len(near) * 5.0) if near else None, 50.0 * e[0])
+    assert got == want
