@@ -232,3 +232,21 @@ def test_masks(spark):
 
 def test_labels(spark):
     assert [r["short_name"] for r in label_dictionary(spark).orderBy("idx").collect()] == ["ShB", "IrB", "SlB", "RaB", "ReA", "Des", "Apn", "Sig"]
+
+
+def test_windows_deal_breaths_not_points(spark, monkeypatch):
+    rows, config = [(k, float(k % 7)) for k in range(3, 40, 5)], Config(fs=1)
+    w = grid.windows(breaths(spark, rows), length(spark, 400), 20, config)
+    assert "Window [" not in w._jdf.queryExecution().executedPlan().toString()  # no row of the grid is sorted or framed in the JVM
+    monkeypatch.setattr(grid, "STRETCH", 1)
+    cut = grid.windows(breaths(spark, rows), length(spark, 400), 20, config)
+    assert sorted(map(str, w.collect())) == sorted(map(str, cut.collect()))
+    asked = []
+    monkeypatch.setattr(grid, "SlidingMedian", type("Counted", (grid.SlidingMedian,), {"median": property(lambda self: asked.append(1) or grid_median(self))}))
+    k = np.array([0, 10, 20])
+    assert grid.sliding(k, np.array([1.0, 3.0, 5.0]), np.arange(30), -5, 0) == [1.0] * 6 + [None] * 4 + [3.0] * 6 + [None] * 4 + [5.0] * 6 + [None] * 4
+    assert len(asked) == 6  # only where the window's content changes
+
+
+def grid_median(window):
+    return 0.5 * window.own[(len(window.own) - 1) // 2] + 0.5 * window.own[len(window.own) // 2] if window.own else None
