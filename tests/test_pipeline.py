@@ -6,7 +6,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from breathmark.config import Breathing, Config
+from breathmark.config import Breathing, Config, Rate
+from breathmark.operators import grid
 from breathmark.plans import figures, pipeline
 from breathmark.plans.detectors import DETECTORS, Recordings
 from breathmark.schema import EVENTS, LABELS, SIGNALS
@@ -66,6 +67,22 @@ def test_recordings(spark):
     assert alone[1, "desaturation"] == got[5, "Des"]
 
 
+def test_samples_and_conditions_are_worked_out_once(spark):
+    """Plans over settled tables read stored samples and conditions, not the source or the windows again; flags are those of each condition alone."""
+    config = replace(CONFIG, rapid=Rate(rr_bpm=20.0, win_sec=30))
+    source = signals(spark, breathe(90) + breathe(80, bpm=8) + breathe(80, bpm=25, amp=0.7))
+    lazy, r = Recordings(source, config).settle_breaths(), Recordings(source, config).settle()
+    assert r.signals.inputFiles() and lazy.signals.inputFiles() and r.signals.count() == source.count()
+    plan = pipeline.raw_events(r)._jdf.queryExecution().optimizedPlan().toString()
+    assert "belts" not in plan
+    some = 0
+    for name, (win, rule) in grid.conditions(config).items():
+        alone = {(x["g"], x["flag"]) for x in grid.at_points(lazy.windows(win), flag=rule).collect()}
+        assert {(x["g"], x["flag"]) for x in r.condition(name).collect()} == alone and len(alone) == 250, name
+        some += any(flag for _, flag in alone)
+    assert some > 3
+
+
 def test_apnea_and_sigh(spark):
     config = replace(CONFIG, resp=Breathing(0.8, 0.02, 3, 0.25))
     sigh = breathe(92) + breathe(4, amp=2.5) + breathe(60)
