@@ -294,3 +294,12 @@ def test_recordings_are_written_in_parts_and_numbered_by_hours(spark, tmp_path):
             near = [d for d in digits[max(0, k - 2) : k + 2] if d is not None]
             want[subject, k] = (100.0 - sum(near) / (len(near) * 5.0) if near else None, 50.0 * e[0])
     assert got == want
+
+
+def test_value_ranges_are_worked_out_of_distinct_values(spark):
+    rows = spark.createDataFrame([(1, float(v % 5)) for v in range(40)], "g int, x double")
+    found = medians(rows, ["g"], "x")
+    assert found.collect()[0]["median"] == 2.0
+    plan = found._jdf.queryExecution().optimizedPlan().toString().upper()
+    line, _, below = plan[plan.rindex("AGGREGATE ") :].partition("\n")
+    assert "LOG2" in plan and "LOG2" not in line.split("], [")[0] and "LOG2" not in below
