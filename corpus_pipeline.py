@@ -21,9 +21,9 @@ LEAST_SCORE = 0.4
 WEIGHTS, LIMIT, SEED = (1, 2, 3), 3, 7
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows and bytes of a batch that goes to a Python worker: it is held there and, both ways, beside the heap of its executor.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
 #: Words whose ids a packing task remembers: fewer than alone, since executors still hold what earlier stages left.
-REMEMBERED = 200_000
+REMEMBERED = 50_000
 
 
 def small_batches(spark: SparkSession) -> None:

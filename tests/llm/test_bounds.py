@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,3 +188,29 @@ def test_stages_of_odd_tables(spark, stage):
 def test_counts_of_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, n_tokens int")
     assert token_count.token_counts(empty, tokenizer("piece_bpe_32k.model")).count() == 0
+
+
+def test_python_workers_of_the_pipeline_get_small_batches(spark, monkeypatch):
+    """What a worker holds beside its executor's heap: batches by rows and bytes, and remembered words."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["rows", "bytes"])
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [(name, spark.conf.get(name)) for name in names]
+    try:
+        corpus_pipeline.small_batches(spark)
+        for chars in (10, 20_000):
+            rows = spark.range(0, 1500, 1, 1).select(F.repeat(F.lit("a"), chars).alias("text"))
+            found = rows.mapInArrow(sizes, "rows long, bytes long").collect()
+            assert sum(r["rows"] for r in found) == 1500
+            assert max(r["rows"] for r in found) <= 500 and max(r["bytes"] for r in found) <= (2 << 20) + 2 * chars
+    finally:
+        for name, value in before:
+            spark.conf.set(name, value)
+    taken = []
+    monkeypatch.setattr(corpus_pipeline, "pack_documents", lambda docs, path, remembered: taken.append(remembered))
+    corpus_pipeline.packing(spark, None, "")
+    for name, value in before:
+        spark.conf.set(name, value)
+    assert taken[0] <= 50_000
