@@ -11,6 +11,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -327,25 +328,43 @@ def _unpacked(blocks: list[dict]) -> Blocks:
     return [(b["text"], b["kept"], b["judged"]) for b in blocks]
 
 
+def sorted_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of suffixes that come sorted by ``_host``, ``_run`` (their first RUN tokens), ``_row`` and ``_at``: those whose run two pages have.
+
+    Neighbours are compared within a batch. Runs at a batch's ends may go on in another batch or task: all their suffixes come out, with host and run, ``_edge``.
+    """
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        row, n = batch["_row"].to_numpy(), batch.num_rows
+        change = np.zeros(n - 1, bool)
+        for key in (batch["_host"], batch["_run"]):
+            change |= pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.append(0, np.flatnonzero(change) + 1)
+        ends = np.append(starts[1:], n)
+        edge, shared = np.zeros(len(starts), bool), row[starts] != row[ends - 1]
+        edge[[0, -1]] = True
+        kept, edge = np.flatnonzero(np.repeat(edge | shared, ends - starts)), np.repeat(edge, ends - starts)
+        named = pa.array(kept, pa.int64(), mask=~edge[kept])  # without host and run inside the batch
+        columns = [*(batch[c].take(named) for c in ("_host", "_run")), *(batch[c].take(pa.array(kept)) for c in ("_row", "_bare", "_at")), pa.array(edge[kept])]
+        yield pa.RecordBatch.from_arrays(columns, ["_host", "_run", "_at_row", "_at_bare", "_at", "_edge"])
+
+
 def _strip_large(pages: DataFrame, shape: str) -> DataFrame:
     """``_id``, ``_url``, ``_text`` of the open ones of ``pages``, as strip_repeats has them over all pages of each host.
 
-    A run of RUN tokens that two pages of a host have has equal 128-bit hashes on both. The hashes are merged within
-    tasks before they are dealt out, and the join back is one that adaptive execution splits where a run is hot.
+    The suffixes of all pages are sorted by host and their first RUN tokens, over tasks by ranges that may part even the suffixes of one run, and neighbours
+    are compared: the suffix array of each host, as deep as repeats are asked for. Runs cut by the ends of batches, two a batch at most, are merged within tasks and joined back.
     """
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
-
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, bare, name, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for name, row, bare, blocks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = stream(_unpacked(blocks))
                 n = max(0, len(tokens) - RUN + 1)
-                hashes = np.frombuffer(
-                    b"".join(xxh3_128_digest("\n".join([name, *tokens[j : j + RUN]]).encode()) for j in range(n)), "<i8"
-                ).reshape(-1, 2)
-                columns = [np.full(n, row), np.full(n, bare), np.arange(n, dtype=np.int32), hashes[:, 0].copy(), hashes[:, 1].copy()]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["_at_row", "_at_bare", "_at", "_h1", "_h2"])
+                runs = pa.array(["\n".join(tokens[j : j + RUN]) for j in range(n)], pa.string())
+                columns = [pa.array([name] * n, pa.string()), runs, pa.array(np.full(n, row)), pa.array(np.full(n, bare)), pa.array(np.arange(n, dtype=np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, ["_host", "_run", "_row", "_bare", "_at"])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,14 +377,19 @@ def _strip_large(pages: DataFrame, shape: str) -> DataFrame:
                 texts.append("\n\n".join(uncovered(own, cover)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["_id", "_url", "_text"])
 
-    found = pages.select("_row", "_bare", "_host", "_blocks").mapInArrow(
-        runs, "_at_row long, _at_bare boolean, _at int, _h1 long, _h2 long"
+    keys = ["_host", "_run", "_row", "_at"]
+    dealt = pages.select("_host", "_row", "_bare", "_blocks").mapInArrow(suffixes, "_host string, _run string, _row long, _bare boolean, _at int")
+    found = durable(
+        dealt.repartitionByRange(*keys).sortWithinPartitions(*keys)
+        .mapInArrow(sorted_repeats, "_host string, _run string, _at_row long, _at_bare boolean, _at int, _edge boolean")
     )
+    edges = found.where("_edge")
     shared = (
-        found.groupBy("_h1", "_h2").agg(F.min("_at_row").alias("_first"), F.max("_at_row").alias("_last"))
-        .where("_first <> _last").select("_h1", "_h2")
+        edges.groupBy("_host", "_run").agg(F.min("_at_row").alias("_first"), F.max("_at_row").alias("_last"))
+        .where("_first <> _last").select("_host", "_run")
     )
-    begins = found.where("_at_bare").join(shared, ["_h1", "_h2"]).groupBy("_at_row").agg(F.collect_list("_at").alias("_begins"))
+    met = found.where("not _edge").unionByName(edges.join(shared, ["_host", "_run"]))
+    begins = met.where("_at_bare").groupBy("_at_row").agg(F.collect_list("_at").alias("_begins"))
     joined = pages.where("_bare").join(begins, F.col("_row") == F.col("_at_row"), "left")
     return joined.select("_id", "_url", "_blocks", "_begins").mapInArrow(strip, f"{shape}, _text string")
 
@@ -389,8 +413,8 @@ def extract_pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
     pages of their own. A page of any length is read whole. An empty table gives an empty result. Other columns of ``df`` are not read.
 
     Pages are parsed once. Of hosts that have pages with blocks in question, these and the blocks outside main elements are
-    compared: hosts of up to GROUP pages by one suffix array each, larger ones by the hashes of their runs, dealt out one
-    by one, so a host of any size is spread. Both find every repeat on the whole host and give the same text.
+    compared: hosts of up to GROUP pages by one suffix array each, larger ones by suffixes sorted over tasks, so a host of any
+    size is spread. Both find every repeat on the whole host and give the same text.
     """
     kinds = {c: df.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     pages = df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), text_or_empty(html_col).alias("_html"))

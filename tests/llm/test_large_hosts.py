@@ -4,6 +4,8 @@ import random
 import time
 from html.parser import HTMLParser
 
+import pyarrow as pa
+
 from breathmark.llm import html_extract
 
 
@@ -167,3 +169,36 @@ def test_long_tags_take_time_in_proportion():
     for page in ("<a \"" * 50_000, "<a '\"" * 50_000, "<style>" + "</style" * 100_000, "<div class='share-x'>t" * 50_000):
         html_extract.parse(page)
     assert time.monotonic() - began < 20
+
+
+def test_sorted_suffixes_by_brute_force():
+    """Suffixes of equal runs that batches cut come out as edges; within batches only those that two pages have."""
+    rng = random.Random(5)
+    for size in (1, 3, 7, 50, 1000):
+        rows = sorted((f"h{rng.randrange(2)}", f"r{rng.randrange(40)}", rng.randrange(9), i) for i in range(300))
+        names, kinds = ["_host", "_run", "_row", "_at", "_bare"], [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
+        columns = [*zip(*rows, strict=True), [True] * len(rows)]
+        table = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+        out = [r for b in html_extract.sorted_repeats(table.slice(k, size) for k in range(0, 300, size)) for r in b.to_pylist()]
+        pages, edges = {}, {}
+        for host, run, row, _ in rows:
+            pages.setdefault((host, run), set()).add(row)
+        for r in out:
+            if r["_edge"]:
+                edges.setdefault((r["_host"], r["_run"]), set()).add(r["_at_row"])
+        got = {r["_at"] for r in out if not r["_edge"] or len(edges[r["_host"], r["_run"]]) > 1}
+        assert got == {at for host, run, _, at in rows if len(pages[host, run]) > 1}
+
+
+def test_a_run_on_all_pages_of_a_large_host_is_found_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "GROUP", 20)
+    bar = "one two three four five six seven eight"
+    rows = [(i, "http://a.example/", f"<div>{bar}</div><div>own{i} words{i}</div>") for i in range(90)] + [(90, "http://b.example/", f"<div>{bar}</div>")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, 16)
+        got = {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == {i: f"own{i} words{i}" for i in range(90)} | {90: bar}
